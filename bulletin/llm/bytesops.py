@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -41,12 +44,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below n."""
-    out = np.full(n, base, U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** i modulo 2 ** 64 for i below n; kept for further batches, rounded up to a power of two."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(1 << max(16, (n - 1).bit_length()), base, U)
+        known[0] = 1
+        _POWERS[int(base)] = known = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -90,3 +98,14 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out[0] = starts[0]
     out[heads[1:]] = starts[1:] - (starts[:-1] + counts[:-1] - 1)
     return np.cumsum(out)
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, whole rows each: the bound of what is laid out at once."""
+    size = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")) - at)
+        yield batch.slice(at, n)
+        at += n

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +60,6 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `most` bytes of text, whole rows each: the bound of what is laid out at once."""
-    size = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
-    at = 0
-    while at < len(size):
-        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, "right")))
-        yield batch.slice(at, n)
-        at += n
-
-
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of the training rows that are learned from: those with the smallest hashes, at most LABELLED."""
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
@@ -83,7 +72,7 @@ def kept_terms(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, 0):
+            for b in B.pieces(whole, 0):
                 hashes, doc = term_hashes(*B.laid_out(b.column(0)))
                 order = np.lexsort((hashes, doc))
                 hashes, doc = hashes[order], doc[order]
@@ -116,7 +105,7 @@ def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, 1):
+            for b in B.pieces(whole, 1):
                 hashes, doc = term_hashes(*B.laid_out(b.column(1)))
                 if len(terms):
                     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
