@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maxent, media, mixing, sharding, tools, topk, toxicity
+from . import bpe, maxent, media, mixing, neardup, sharding, tools, topk, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_tree_top_k": lambda spark, d: topk.embeddings_top_k(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op4_hash_threshold_mixing": lambda spark, d: mixing.mix(documents(spark, d)).drop("source"),
     "op6_hashed_maxent": lambda spark, d: maxent.score(documents(spark, d)),
+    "op7_set_sketch": lambda spark, d: neardup.near_duplicates(documents(spark, d)),
     "op8_byte_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
     "op10_toxicity": lambda spark, d: toxicity.score(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op9_media_columns": lambda spark, d: media.media_columns(documents(spark, d)).drop("shard", "offset"),
