@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maxent, media, mixing, neardup, sharding, tools, topk, toxicity
+from . import bpe, maxent, media, mixing, neardup, sharding, substrings, tools, topk, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_call_linking": lambda spark, d: tools.link_dialogues(spark.read.parquet(f"{d}/conversations.parquet")),
     "op3_kd_tree_top_k": lambda spark, d: topk.embeddings_top_k(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op4_hash_threshold_mixing": lambda spark, d: mixing.mix(documents(spark, d)).drop("source"),
+    "op5_suffix_array_dedup": lambda spark, d: substrings.digests(documents(spark, d)),
     "op6_hashed_maxent": lambda spark, d: maxent.score(documents(spark, d)),
     "op7_set_sketch": lambda spark, d: neardup.near_duplicates(documents(spark, d)),
     "op8_byte_bpe": lambda spark, d: bpe.digests(documents(spark, d)),
