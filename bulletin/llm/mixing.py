@@ -71,21 +71,23 @@ def _threshold(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken; taken is a whole number of copies times size, at most `most`.
+def _hash() -> Column:
+    return F.shiftright(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
+
+
+def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """docs with size, source_size, target and taken; taken is a whole number of copies times size, at most `most`.
 
     The plan by source and the thresholds are written tables without a broadcast hint: Spark broadcasts them while
     their files are under its threshold and else joins by source, where adaptive execution splits a hot source.
     """
-    h = F.shiftright(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
-    base = written(docs.select("doc_id", "source", n_words().alias("size"), h.alias("h")), "mix-rows")
+    base = written(docs.select("source", n_words().alias("size"), _hash().alias("h")), "mix-rows")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most).withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + 1e-12))).otherwise(0).cast("long")
-    plan = written(plan.withColumn("copies", copies).withColumn("left", F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 1e-6).cast("long")), "mix-plan")
-    rows = base.join(plan, base["source"].eqNullSafe(plan["source"])).select("doc_id", base["source"], "size", "h", "sid", "source_size", "target", "copies")
+    plan = written(plan.withColumn("copies", copies).withColumn("left", F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 1e-6).cast("long")).withColumnRenamed("source", "_source"), "mix-plan")
     left, bounds = plan.select("sid", "left"), []
-    open_rows = rows.where("size > 0").select("sid", "size", "h")
+    open_rows = base.join(plan.select("_source", "sid"), F.col("source").eqNullSafe(F.col("_source"))).where("size > 0").select("sid", "size", "h")
     for _ in range(NESTED):
         # Only documents that fit into what is left, which shrinks below the size of the document at the last bound.
         fit = open_rows.join(left.where("left > 0"), "sid").where(F.col("size") <= F.col("left")).select("sid", "size", "h")
@@ -93,10 +95,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3)
         bounds.append(found.select("sid", F.col("left").alias("most_size"), "low"))
         open_rows = open_rows.join(bounds[-1], "sid", "left").where("low is null or size > most_size or h >= low").select("sid", "size", "h")
         left = found.select("sid", (F.col("left") - F.col("got")).alias("left"))
+    clash = ["size", "source_size", "target", "taken"]
+    out = docs.drop(*clash).withColumn("size", n_words()).withColumn("_h", _hash())
+    out = out.join(plan.select("_source", "source_size", "target", F.col("sid").alias("_sid"), F.col("copies").alias("_copies")), F.col("source").eqNullSafe(F.col("_source")))
     chosen = F.lit(False)
-    out = rows
     for i, b in enumerate(bounds):
-        out = out.join(b.select("sid", F.col("most_size").alias(f"_m{i}"), F.col("low").alias(f"_l{i}")), "sid", "left")
-        chosen = chosen | F.coalesce((F.col("size") <= F.col(f"_m{i}")) & (F.col("h") < F.col(f"_l{i}")), F.lit(False))
-    once_more = F.when(chosen & (F.col("size") > 0) & (F.col("copies") < most), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + once_more)).cast("long").alias("taken"))
+        out = out.join(b.select(F.col("sid").alias("_sid"), F.col("most_size").alias(f"_m{i}"), F.col("low").alias(f"_l{i}")), "_sid", "left")
+        chosen = chosen | F.coalesce((F.col("size") <= F.col(f"_m{i}")) & (F.col("_h") < F.col(f"_l{i}")), F.lit(False))
+    once_more = F.when(chosen & (F.col("size") > 0) & (F.col("_copies") < most), 1).otherwise(0)
+    out = out.withColumn("taken", (F.col("size") * (F.col("_copies") + once_more)).cast("long"))
+    return out.select(*[c for c in docs.columns if c not in clash], *clash)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes them, in the columns of docs."""
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    own = [F.col(c) for c in docs.columns]
+    return taken(docs, weights, most).where("taken > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*own)

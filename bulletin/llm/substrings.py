@@ -103,7 +103,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, notes: pa.Table):
         order = np.lexsort((table["salt"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy()))
-        table = table.take(pa.array(order))
+        self.table = table = table.take(pa.array(order))
         self.ids, self.null = table["doc_id"].fill_null(-1).to_numpy(), table["doc_id"].is_null().to_numpy()
         self.data, self.offsets = B.laid_out(table["text"])
         copies = [x for row in notes["copies"].to_pylist() if row for x in row] if len(notes) else []
@@ -205,8 +205,8 @@ NOTES = "block int, part int, bits binary, run binary, at binary, n binary, low
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes) of every document."""
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes) of every document, and the columns to carry."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("key")), "sub-facts")
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copied = copies.select("block", none("int", "part"), *[none("binary", c) for c in ("bits", "run", "at", "n", "low")], "copies")
 
     table = f"bulletin_{uuid.uuid4().hex}"
-    dealt = docs.select(block, "doc_id", F.xxhash64("text").alias("salt"), text.alias("text")).repartition(buckets, "block")
+    dealt = docs.select(block, "doc_id", F.xxhash64("text").alias("salt"), text.alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry]).repartition(buckets, "block")
     dealt.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     texts = spark.table(table).groupBy("block")
 
@@ -334,9 +334,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         raw = b.data[~gone].tobytes()
         ends = np.append(0, np.cumsum(size - removed))
         kept = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64(), mask=b.null), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())})
+        own = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.null), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())}
+        return pa.table(own | {f"with_{c}": b.table[f"with_{c}"] for c in carry})
 
-    return texts.cogroup(covers.unionByName(copied).groupBy("block")).applyInArrow(cover, RESULT)
+    kinds = "".join(f", `with_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return texts.cogroup(covers.unionByName(copied).groupBy("block")).applyInArrow(cover, RESULT + kinds)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, in its own columns, with texts of what is kept; a character that lost some of its bytes goes whole, and n_chars follows."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, *b.columns[1:]], ["text", *b.schema.names[1:]])
+
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, others).select("kept", "doc_id", *[f"with_{c}" for c in others])
+    kinds = "text string, doc_id long" + "".join(f", `with_{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    out = out.mapInArrow(decode, kinds).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[F.col(c if c in ("doc_id", "text", "n_chars") else f"with_{c}").alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
