@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, part: int = 85) -> DataFram
     one = written(one, "dup-registers")
 
     key = lambda i: F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS))
-    banded = one.select("node", F.explode(F.array(*[key(i) for i in range(BANDS)])).alias("key"))
+    banded = one.select("node", F.posexplode(F.array(*[key(i) for i in range(BANDS)])).alias("band", "key"))
     size = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "dup-buckets")
     total = max(1, same.count()) * BANDS
     members = written(hot_join(banded, size, "key", "size", total, "inner"), "dup-members")
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, part: int = 85) -> DataFram
     links = written(links.unionByName(verified(second, sets, part)), "dup-links")
     label = components(links)
 
-    mixed = members.select("node", "key").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = members.select("node", "key", "band").join(label, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     several = mixed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
     several = written(several, "dup-mixed")
     third = written(_crossed(hot_join(mixed, several, "key", "size", total, "inner"), one, part).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "dup-third")
@@ -241,26 +241,33 @@ def _likely(pairs: DataFrame, one: DataFrame, part: int) -> DataFrame:
 
 
 def _crossed(members: DataFrame, one: DataFrame, part: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components, whose sketches may link; members are (key, node, label, size)."""
+    """Pairs (a, b) of one bucket, of different components, whose sketches may link; members are (key, band, node, label, size)."""
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
         side, node, label, n = (data[c].to_numpy() for c in ("side", "node", "label", "n"))
         raw = np.frombuffer(b"".join(data["sketch"].to_pylist()), np.uint16).reshape(len(data), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if key[1].as_py() == key[2].as_py():
+        same = key[1].as_py() == key[2].as_py()
+        if same:
             right = left
-        a, b = [], []
+        bands = raw[:, : ROWS * BANDS].reshape(len(raw), BANDS, ROWS)
+        band, a, b = key[3].as_py(), [], []
         for i in left.tolist():
-            other = right[(label[right] != label[i]) & ((node[right] > node[i]) | (key[1].as_py() != key[2].as_py()))]
+            other = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= part * np.maximum(n[right], n[i]))]
+            if same:
+                other = other[node[other] > node[i]]
             if len(other):
-                ok = other[may_link(np.broadcast_to(raw[i], (len(other), raw.shape[1])), raw[other], np.full(len(other), n[i]), n[other], part)]
-                a.append(np.full(len(ok), node[i]))
-                b.append(node[ok])
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.table({"a": cols[0], "b": cols[1]})
+                # A pair is taken up in the first of its common buckets only.
+                agree = (bands[other, : band + 1] == bands[i, : band + 1]).all(2)
+                other = other[agree.argmax(1) == band]
+                a.append(np.full(len(other), i))
+                b.append(other)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        ok = may_link(raw[a], raw[b], n[a], n[b], part)
+        return pa.table({"a": node[a[ok]], "b": node[b[ok]]})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.join(one, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    cells = dealt.withColumn("cell", F.explode(pairs)).select("key", "cell.i", "cell.j", "cell.side", "node", "label", "n", "sketch")
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = dealt.withColumn("cell", F.explode(pairs)).select("key", "cell.i", "cell.j", "band", "cell.side", "node", "label", "n", "sketch")
+    return cells.groupBy("key", "i", "j", "band").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
