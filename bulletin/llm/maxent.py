@@ -151,28 +151,41 @@ def fitted_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     return Vocabulary(head["token"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), chosen["ending"].tolist(), sums, kinds), int(total["n"] or 0), int(total["v"])
 
 
-def _log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The classes' sums of weights, from which each row's largest is taken."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += weights[ROWS]
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def _log_probability(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    z = _scores(weights, rows)
+    own = z[np.arange(len(classes)), classes]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def _updated(weights: np.ndarray, squares: np.ndarray, classes: np.ndarray, rows: np.ndarray) -> None:
     """One AdaGrad step on a batch, in place."""
-    grad = np.exp(_log_softmax(weights, rows))
+    grad = _scores(weights, rows)
+    np.exp(grad, out=grad)
+    grad /= grad.sum(1, keepdims=True)
     grad[np.arange(len(classes)), classes] -= 1
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16)  # sorted by radix
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     sums = np.add.reduceat(grad[order % len(classes)], first, axis=0)
-    at = flat[first]
-    squares[at] += sums * sums
-    weights[at] -= RATE * sums / np.sqrt(squares[at])
+    at = flat[first].astype(np.int64)
+    held = squares[at]
+    held += sums * sums
+    squares[at] = held
+    np.sqrt(held, out=held)
+    sums *= RATE
+    sums /= held
+    weights[at] -= sums
     bias = grad.sum(0)
     squares[ROWS] += bias * bias
     weights[ROWS] -= RATE * bias / np.sqrt(squares[ROWS])
@@ -244,7 +257,7 @@ def score(docs: DataFrame) -> DataFrame:
                 logs = np.empty(len(classes))
                 for i in range(0, len(classes), STEP):
                     part = classes[i : i + STEP]
-                    logs[i : i + STEP] = _log_softmax(w, rows[:, i : i + STEP])[np.arange(len(part)), part]
+                    logs[i : i + STEP] = _log_probability(w, rows[:, i : i + STEP], part)
                 logs = logs / math.log(10) - voc.log_z[classes]
                 seen = np.where(there, np.log10((voc.counts[at] if len(voc.counts) else 0) + 1.0), 0.0)
                 first = offsets[:-1]
