@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -153,19 +153,25 @@ def safe_draft(question: Column, title: Column, cards: Column, tone: str, limit:
     return trim_to_limit(F.array_join(words, " "), limit)
 
 
-def draft_tail(answer: Column, sources: Column, safe: Column) -> Column:
-    """What is left of a draft after its unverified sentences go, or the safe draft if too little is; without blocked words and contacts."""
-    flagged = F.array_distinct(F.concat(fact_check(answer, sources), claims(answer, sources)))
-    left = drop_sentences_with(answer, flagged)
-    enough = F.length(left) >= F.greatest(F.lit(40.0), F.length(answer) / 3)
-    kept = F.when(F.size(flagged) == 0, answer).when(enough, left).otherwise(safe)
-    return scrub_pii(drop_sentences_with(kept, blocked(kept)))[0]
-
-
-def guard_comment(c: Column, grounds: Column) -> Column:
-    """A comment that survives: cited sentences only, no unverified ones, nothing unlawful, blocked or overclaimed, no contacts."""
-    cited = keep_cited(c, grounds)
-    flagged = F.array_distinct(F.concat(fact_check(cited, grounds), claims(cited, grounds)))
-    clean = keep_cited(drop_sentences_with(cited, flagged), grounds)
-    bad = (F.size(discriminatory(clean)) > 0) | (F.size(blocked(clean)) > 0) | overclaimed(clean, grounds).isNotNull()
-    return F.when(~bad, scrub_pii(clean)[0])
+def draft_tail(df: DataFrame, column: str, sources: Column, safe: Column) -> DataFrame:
+    """df with column as what is left of a draft after its unverified sentences go, or the safe draft if too little is; without blocked words and contacts.
+
+    Each step is a column of its own, since the next reads it more than once.
+    """
+    c = F.col(column)
+    df = df.withColumn("_flagged", F.array_distinct(F.concat(fact_check(c, sources), claims(c, sources))))
+    df = df.withColumn("_left", drop_sentences_with(c, F.col("_flagged")))
+    enough = F.length("_left") >= F.greatest(F.lit(40.0), F.length(c) / 3)
+    df = df.withColumn("_kept", F.when(F.size("_flagged") == 0, c).when(enough, F.col("_left")).otherwise(safe))
+    df = df.withColumn("_bad", blocked(F.col("_kept"))).withColumn("_clean", drop_sentences_with(F.col("_kept"), F.col("_bad")))
+    return df.withColumn(column, scrub_pii(F.col("_clean"))[0]).drop("_flagged", "_left", "_kept", "_bad", "_clean")
+
+
+def guard_comment(df: DataFrame, column: str, grounds: Column) -> DataFrame:
+    """df with column as a comment that survives: cited sentences only, no unverified ones, nothing unlawful, blocked or overclaimed, no contacts."""
+    df = df.withColumn("_cited", keep_cited(F.col(column), grounds))
+    df = df.withColumn("_flagged", F.array_distinct(F.concat(fact_check(F.col("_cited"), grounds), claims(F.col("_cited"), grounds))))
+    df = df.withColumn("_left", drop_sentences_with(F.col("_cited"), F.col("_flagged"))).withColumn("_clean", keep_cited(F.col("_left"), grounds))
+    c = F.col("_clean")
+    bad = (F.size(discriminatory(c)) > 0) | (F.size(blocked(c)) > 0) | overclaimed(c, grounds).isNotNull()
+    return df.withColumn("_bad", bad).withColumn(column, F.when(~F.col("_bad"), scrub_pii(c)[0])).drop("_cited", "_flagged", "_left", "_clean", "_bad")

@@ -124,8 +124,7 @@ def _(t):
 def _(t):
     c = _cases("백엔드 경험이 맞습니다. 빈말입니다.", "설계 능력이 있습니다.", "백엔드 a@b.co 입니다.", "백엔드를 했습니다. 백엔드 매출 77% 증가.")
     grounds = T.texts("백엔드", "설계", "a@b.co")
-    p = t.postings().withColumn("cited", G.keep_cited(c, grounds))
-    return p.select("k", G.guard_comment(F.col("cited"), grounds).alias("text"))
+    return G.guard_comment(t.postings().select("k", c.alias("text")), "text", grounds).select("k", "text")
 
 
 @query("guard_draft_tail", "select k, " + sql_cases("'경험을 바탕으로 성실히 일하며 팀과 함께 결과를 내고 맡은 일을 끝까지 해내겠습니다.'", "'안전한 초안입니다.'", "'좋은 글입니다. [삭제]'") + " as text, " + sql_cases("'0|2'", "'1'", "''") + " as used from p", view=True)
@@ -133,14 +132,15 @@ def _(t):
     c = _cases("경험을 바탕으로 성실히 일하며 팀과 함께 결과를 내고 맡은 일을 끝까지 해내겠습니다. 매출 45% 증가.", "매출 45% 증가.", "좋은 글입니다. 010-1234-5678")
     raw = F.when(F.col("k") % 3 == 0, F.array(F.lit(2), F.lit(0), F.lit(2), F.lit(9))).when(F.col("k") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     used = F.array_sort(F.array_intersect(raw, F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return t.postings().select("k", G.draft_tail(c, T.texts("경험 010-1234-5678"), F.lit("안전한 초안입니다.")).alias("text"), F.array_join(F.transform(used, lambda x: x.cast("string")), "|").alias("used"))
+    p = G.draft_tail(t.postings().select("k", c.alias("text")), "text", T.texts("경험 010-1234-5678"), F.lit("안전한 초안입니다."))
+    return p.select("k", "text", F.array_join(F.transform(used, lambda x: x.cast("string")), "|").alias("used"))
 
 
-@query("guard_safe_draft", "select k, title || '에 지원해요. ' || word || ' 경험이 있어요. 이 경험을 바탕으로 맡은 일을 성실히 해내고 싶어요.' as casual, 'Q' || k || '에 대해 말씀드리겠습니다. 등록된 경험 카드가 없어 근거가 되는 사실을 넣지 못했습니다.' as formal from p", view=True)
+@query("guard_safe_draft", "select k, title || '에 지원해요. ' || word || ' 경험이 있어요. 이 경험을 바탕으로 맡은 일을 성실히 해내고 싶어요.' as casual, 'Q' || k || '에 대해 말씀드리겠습니다. " + P.DRAFT["formal"][4] + "' as formal from p", view=True)
 def _(t):
     one = F.array(F.concat(F.lit(" "), F.col("word"), F.lit(". ")), F.lit(" "))
     casual = G.safe_draft(F.lit("Q"), F.col("title"), one, "casual", F.lit(0))
-    formal = G.safe_draft(F.concat(F.lit("Q"), F.col("k").cast("string")), F.lit(""), T.texts(), "formal", F.lit(90))
+    formal = G.safe_draft(F.concat(F.lit("Q"), F.col("k").cast("string")), F.lit(""), T.texts(), "formal", F.lit(0))
     return t.postings().select("k", casual.alias("casual"), formal.alias("formal"))
 
 

@@ -94,7 +94,7 @@ def _(t):
     return e.join(n, "vec_id").select("vec_id", F.round(R.cosine(F.col("v"), F.col("w")), 6).alias("score"))
 
 
-@query("sim_calibrate", "select vec_id, greatest(0, least(100, floor((x - 0.365) / (0.509 - 0.365) * 100 + 0.5)))::int as score from (select vec_id, (vec_id % 1000) / 1000.0::double as x from embeddings)")
+@query("sim_calibrate", "select vec_id, greatest(0, least(100, floor((x - 0.365::double) / (0.509::double - 0.365::double) * 100 + 0.5)))::int as score from (select vec_id, (vec_id % 1000) / 1000.0::double as x from embeddings)")
 def _(t):
     return t("embeddings").select("vec_id", R.calibrate((F.col("vec_id") % 1000) / 1000).alias("score"))
 
@@ -168,8 +168,8 @@ GRAMS = r"list_distinct(list_transform(generate_series(1, greatest(length(x) - 2
 
 
 @query("selfjoin_jaccard", rf"""with g as (select conv_id, turn, unnest({GRAMS}) as g, len({GRAMS}) as n from (select conv_id, turn, regexp_replace(text, '\s', '', 'g') as x from conversations)),
-s as (select a.conv_id, a.turn as a, b.turn as b, count(*) as both, any_value(a.n) as n, any_value(b.n) as m from g a join g b on a.conv_id = b.conv_id and a.g = b.g and a.turn < b.turn group by all)
-select conv_id, a, b, round(both / (n + m - both), 9) as score from s""")
+s as (select a.conv_id, a.turn as a, b.turn as b, count(*) as c, any_value(a.n) as n, any_value(b.n) as m from g a join g b on a.conv_id = b.conv_id and a.g = b.g and a.turn < b.turn group by all)
+select conv_id, a, b, round(c / (n + m - c), 9) as score from s""")
 def _(t):
     bare = t("conversations").select("conv_id", "turn", T.sub(F.col("text"), r"\s").alias("x"))
     grams = bare.select("conv_id", "turn", T.ngrams(F.col("x")).alias("g")).select("conv_id", "turn", F.explode("g").alias("g"), F.size("g").alias("n"))
@@ -203,7 +203,9 @@ def _(t):
 
 
 MODEL = "case event_id % 4 when 0 then 'HCX-DASH-002' when 1 then 'HCX-005' when 2 then 'HCX-007' else 'other' end"
-COST = f"round_even((100 + event_id % 997) * (case event_id % 4 when 0 then 0.00025 when 3 then 0 else 0.00125 end)::double + (event_id % 311) * (case event_id % 4 when 0 then 0.001 when 3 then 0 else 0.005 end)::double, 4)"
+#: In hundred-thousandths, so that halves go to the even neighbour exactly.
+UNITS = "((100 + event_id % 997) * (case event_id % 4 when 0 then 25 when 3 then 0 else 125 end) + (event_id % 311) * (case event_id % 4 when 0 then 100 when 3 then 0 else 500 end))"
+COST = f"(({UNITS} // 10 + case when {UNITS} % 10 > 5 or ({UNITS} % 10 = 5 and {UNITS} // 10 % 2 = 1) then 1 else 0 end) / 10000)"
 
 
 def calls(t):
