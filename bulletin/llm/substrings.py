@@ -38,7 +38,7 @@ LENGTH, SEED = 50, 16
 DEEPEST = LENGTH - SEED
 RANGES = tuple((a, min(a + 8, DEEPEST)) for a in range(0, DEEPEST + 1, 9))
 #: Bytes of text of a block and of an anchor partition, on average; bytes laid out at once; symbols of a suffix array, at least one core's strings.
-BLOCK, PART, LAID, SYMBOLS = 2 << 20, 2 << 20, 2 << 20, 60_000
+BLOCK, PART, LAID, SYMBOLS = 1 << 20, 1 << 20, 1 << 19, 60_000
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     totals = facts.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     size = totals["n"] or 0
     blocks, parts = max(32, -(-size // BLOCK)), max(32, -(-size // PART))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * BLOCK)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 * BLOCK)))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
 
     same = written(facts.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sub-same")
