@@ -104,6 +104,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     ``rows``), shard, slot (from 0 in each shard, without gaps), grown_shard (null under this law).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = written(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.sha2(text, 256)).alias("hub")), "shard-facts")
-    placed = propagate(facts.select("doc_id"), facts.select("doc_id", "hub"), shards)
-    return facts.join(placed, "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    facts = written(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.sha2(text, 256)).alias("hub"), F.monotonically_increasing_id().alias("row")), "shard-facts")
+    own = facts.select(F.col("row").alias("doc_id"), "hub")  # doc_id may repeat or be null; the rows of the written table don't
+    placed = propagate(own.select("doc_id"), own, shards).withColumnRenamed("doc_id", "row")
+    return facts.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
