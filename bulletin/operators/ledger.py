@@ -31,7 +31,9 @@ def _price(model: Column, i: int) -> Column:
 
 
 def cost(model: Column, prompt: Column, completion: Column) -> Column:
-    return F.bround(prompt * _price(model, 0) + completion * _price(model, 1), 4)
+    """To four places, halves to even; in decimals, so that a half is one."""
+    exact = lambda i: _price(model, i).cast("decimal(12,8)")
+    return F.bround(prompt.cast("decimal(18,0)") * exact(0) + completion.cast("decimal(18,0)") * exact(1), 4).cast("double")
 
 
 def estimate(model: Column, system: Column, user: Column, max_tokens: Column, reserved: Column) -> Column:
