@@ -24,7 +24,7 @@ def test_deadlines(spark):
     assert due(spark, "신청기간: 6월 3일").year_inferred
     assert due(spark, "상시 모집").reason == "no_deadline"
     assert due(spark, "마감일은 2099년 12월 31일").reason == "not_found"
-    assert due(spark, "모집 인원의 1.2~1.3 배수").iso is None
+    assert due(spark, "모집 인원의 1.2~1.3배수").iso is None
     assert str(due(spark, "1차 접수: 2026.05.10 안내. 2차 접수: 2026.06.20").iso) == "2026-06-20"
     assert str(due(spark, "마감일\n\n2026.06.21\n\n기타").iso) == "2026-06-21"
 
