@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,3 +111,10 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[
         n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")) - at)
         yield batch.slice(at, n)
         at += n
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: allocators keep it, and a worker stands beside its executor for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call, and need none for right results
+        ctypes.CDLL(None).malloc_trim(0)

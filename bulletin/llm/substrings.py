@@ -102,6 +102,7 @@ class _Block:
     """The texts of a block and their runs, laid out the same way in every pass."""
 
     def __init__(self, table: pa.Table, notes: pa.Table):
+        B.give_back()  # what the block before this one has held
         order = np.lexsort((table["salt"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy()))
         self.table = table = table.take(pa.array(order))
         self.ids, self.null = table["doc_id"].fill_null(-1).to_numpy(), table["doc_id"].is_null().to_numpy()
@@ -234,6 +235,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return pa.table({"block": pa.array([key[0].as_py()] * len(cuts), pa.int32()), "part": pa.array([c[0] for c in cuts], pa.int32()), "hashes": pa.array([h[i:j].tobytes() for _, i, j in cuts], pa.binary()), "several": pa.array([np.packbits(several[i:j]).tobytes() for _, i, j in cuts], pa.binary())})
 
     def shared(data: pa.Table) -> pa.Table:
+        B.give_back()
         hashes = [np.frombuffer(x, np.uint64) for x in data["hashes"].to_pylist()]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(data["several"].to_pylist(), hashes)]
         every = np.sort(np.concatenate(hashes + [h[s] for h, s in zip(hashes, several)]))
@@ -276,6 +278,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return pa.table({c.split()[0]: pa.array(x, k) for c, x, k in zip(sent.split(", "), cols, kinds)})
 
     def settle(data: pa.Table) -> pa.Table:
+        B.give_back()
         get = lambda c, kind: np.frombuffer(b"".join(data[c].to_pylist()), kind)
         run, h, low, high, left, n = get("run", np.int32), get("hash", np.uint64), get("low", np.int64), get("high", np.int64), get("left", np.uint8).astype(np.int64), get("n", np.uint8).astype(np.int64)
         raw = get("bytes", np.uint8)
