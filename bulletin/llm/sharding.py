@@ -30,7 +30,7 @@ BUCKET_ROWS = 20_000
 ADMIT = 4096
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 4, share: float = 0.5) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 4, share: float = 0.75) -> DataFrame:
     """(doc_id, shard, slot) for every row of nodes (doc_id, unique); links are (doc_id, hub) with one hub a document."""
     total = nodes.count()
     quota = total // shards
