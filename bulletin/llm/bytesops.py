@@ -47,6 +47,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Of each table of powers, what stays from one block to the next.
+KEPT = 1 << 20
 
 
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
@@ -102,6 +104,11 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def sizes(column: pa.ChunkedArray) -> np.ndarray:
+    """The number of bytes of each value (null: 0)."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+
+
 def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, whole rows each: the bound of what is laid out at once."""
     size = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -113,8 +120,16 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[
         at += n
 
 
+#: What the C library's call for large blocks is named by, and from how many bytes on a block is one of its own, which is given back when freed.
+_LARGE, _OWN = -3, 1 << 18
+
+
 def give_back() -> None:
-    """Returns freed memory to the system: allocators keep it, and a worker stands beside its executor for long."""
+    """Returns freed memory to the system, now and for large blocks from now on: allocators keep it, and a worker stands beside its executor for long."""
+    for base in [b for b, known in _POWERS.items() if len(known) > KEPT]:
+        _POWERS[base] = _POWERS[base][:KEPT].copy()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call, and need none for right results
-        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls, and need none for right results
+        library = ctypes.CDLL(None)
+        library.mallopt(_LARGE, _OWN)
+        library.malloc_trim(0)

@@ -37,8 +37,9 @@ LENGTH, SEED = 50, 16
 #: The largest offset of an anchor in its window, and the ranges of offsets whose windows share a core.
 DEEPEST = LENGTH - SEED
 RANGES = tuple((a, min(a + 8, DEEPEST)) for a in range(0, DEEPEST + 1, 9))
-#: Bytes of text of a block and of an anchor partition, on average; bytes laid out at once; symbols of a suffix array, at least one core's strings.
-BLOCK, PART, LAID, SYMBOLS = 1 << 20, 1 << 20, 1 << 19, 60_000
+#: Bytes of text of a block and of an anchor partition, on average; bytes laid out at once; bytes of runs that are settled at once, at least one anchor's;
+#: symbols of a suffix array, at least one core's strings.
+BLOCK, PART, LAID, SETTLED, SYMBOLS = 1 << 20, 1 << 20, 1 << 17, 1 << 18, 20_000
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -202,6 +203,18 @@ def _smallest(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _by_anchor(hashes: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs in lots of about SETTLED bytes, all those at one anchor in the same: runs at different anchors share no window."""
+    order = np.argsort(hashes, kind="stable")
+    upto, ends = np.cumsum(size[order]), np.flatnonzero(np.append(hashes[order][1:] != hashes[order][:-1], True)) + 1
+    begin = 0
+    while begin < len(order):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SETTLED, "right"))
+        end = int(ends[np.searchsorted(ends, max(end, begin + 1))])
+        yield order[begin:end]
+        begin = end
+
+
 NOTES = "block int, part int, bits binary, run binary, at binary, n binary, low binary, copies array<long>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -279,19 +292,25 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def settle(data: pa.Table) -> pa.Table:
         B.give_back()
-        get = lambda c, kind: np.frombuffer(b"".join(data[c].to_pylist()), kind)
-        run, h, low, high, left, n = get("run", np.int32), get("hash", np.uint64), get("low", np.int64), get("high", np.int64), get("left", np.uint8).astype(np.int64), get("n", np.uint8).astype(np.int64)
+        get = lambda c, kind: B.laid_out(data[c])[0].view(kind)
+        run, h, low, high, left, n = get("run", np.int32), get("hash", np.uint64), get("low", np.int64), get("high", np.int64), get("left", np.uint8), get("n", np.uint8)
         raw = get("bytes", np.uint8)
-        first = np.append(0, np.cumsum(n + LENGTH - 1))[:-1]
-        block = np.repeat(data["block"].to_numpy(), [len(x) // 4 for x in data["run"].to_pylist()])
-        of, start, least = _smallest(h, raw, first + left, first, first + n - 1, low)
-        some = least < high[of]
-        of, start, least = of[some], start[some] - first[of[some]], least[some]
-        order = np.lexsort((start, of))
-        of, start, least = of[order], start[order], least[order]
-        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1]))) if len(of) else np.zeros(0, np.int64)
-        length = np.diff(np.append(new, len(of)))
-        of, start, least = of[new], start[new], least[new]
+        size = n.astype(np.int64) + LENGTH - 1
+        first = np.append(0, np.cumsum(size))[:-1]
+        block = np.repeat(data["block"].to_numpy(), B.sizes(data["run"]) // 4)
+        found: list[tuple[np.ndarray, ...]] = []
+        for some in _by_anchor(h, size):
+            most, head = size[some], np.append(0, np.cumsum(size[some]))[:-1]
+            of, start, least = _smallest(h[some], raw[B.expanded(first[some], most)], head + left[some], head, head + n[some].astype(np.int64) - 1, low[some])
+            less = least < high[some][of]
+            of, start, least = of[less], start[less] - head[of[less]], least[less]
+            if not len(of):
+                continue
+            order = np.lexsort((start, of))
+            of, start, least = of[order], start[order], least[order]
+            new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])))
+            found.append((some[of[new]], start[new].astype(np.uint8), least[new], np.diff(np.append(new, len(of)))))
+        of, start, least, length = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
         order = np.argsort(block[of], kind="stable")
         of, start, least, length = of[order], start[order], least[order], length[order]
         cols: list[list] = [[] for _ in range(5)]
