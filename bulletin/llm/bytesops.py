@@ -121,7 +121,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[
 
 
 #: What the C library's call for large blocks is named by, and from how many bytes on a block is one of its own, which is given back when freed.
-_LARGE, _OWN = -3, 1 << 18
+_LARGE, _OWN = -3, 1 << 22
 
 
 def give_back() -> None:
