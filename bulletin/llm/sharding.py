@@ -1,13 +1,15 @@
 """Balanced label propagation: documents move to the shards of the documents they are linked with, under quotas.
 
-Links are memberships (doc_id, hub): documents of one hub are linked with each other, without listing pairs. Each
-round is two joins: hubs count their members by shard and choose the shard that holds most of them, among those
-with room; the hubs that a shard has room for are let in, and their members move there. Quotas are row counts, so
-that at the end the shards' counts are at most one apart: linked documents hold their places first, unlinked
-ones fill up, and what is over a quota moves to the gaps of other shards.
+Links are memberships (doc_id, hub): documents of one hub are linked with each other, without listing pairs. A hub
+takes room in a shard when it is let in there as a whole; members of hubs not yet let in take none, since they leave.
+Large hubs come first: there are at most LARGE of them a shard, so the driver packs them by falling size. Then rounds of
+two joins: hubs count their members by shard and choose the shard that holds most of them (later a shard drawn by its
+room), and each shard lets in what it has room for, larger ones first. Rounds go on until few hubs are left, which the
+driver packs. Quotas are row counts, so that at the end the shards' counts are at most one apart: linked documents hold
+their places first, unlinked ones fill up, and what is over a quota moves to the gaps of other shards.
 
-A hub with more members than ``share`` of a quota is cut into chunks that move on their own: a group larger
-than a shard has to be cut anyway, and no key of a join or window is larger than a chunk.
+Only a hub that fits nowhere is cut: it fills the roomiest shard, and its rest is packed like a hub of its own. Hubs are
+cut between buckets of their rows' hashes, which are counted, so that no piece is over its room.
 
 Places and quotas are found without a global sort: rows are counted by (shard, bucket of the hash), the buckets'
 running sums give each bucket its first place, and rows are numbered inside their bucket only.
@@ -18,6 +20,10 @@ of their own when their doc_id differs. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,42 +32,98 @@ from .common import hot_join, written
 
 #: Rows that a bucket holds on average, the most that one window sorts.
 BUCKET_ROWS = 20_000
-#: Hash buckets by which hubs are let into a shard.
+#: Hash buckets by which hubs of about one size are let into a shard.
 ADMIT = 4096
+#: Hubs over 1 / LARGE of a quota are packed first; buckets by which a quota's worth of a hub is cut; hubs that the driver packs last.
+LARGE, BUCKETS, LAST = 16, 256, 20_000
+
+
+def packed(parts: dict[int, dict[int, int]], free: list[int]) -> list[tuple[int, int, int]]:
+    """(hub, bucket, shard) of hubs given as rows by bucket; takes from free. Buckets that fit nowhere are left out."""
+    heap = [(-sum(at.values()), hub, sorted(at.items())) for hub, at in parts.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        size, hub, at = heapq.heappop(heap)
+        fits = [s for s, room in enumerate(free) if room >= -size]
+        s = min(fits, key=free.__getitem__) if fits else max(range(len(free)), key=free.__getitem__)
+        rest = []
+        for bucket, n in at:
+            if n <= free[s]:
+                free[s] -= n
+                out.append((hub, bucket, s))
+            else:
+                rest.append((bucket, n))
+        if rest and len(rest) < len(at):
+            heapq.heappush(heap, (-sum(n for _, n in rest), hub, rest))
+    return out
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 4, share: float = 0.75) -> DataFrame:
-    """(doc_id, shard, slot) for every row of nodes (doc_id, unique); links are (doc_id, hub) with one hub a document."""
+def _cut(linked: DataFrame, hubs: DataFrame, quota: int, free: list[int]) -> DataFrame:
+    """(doc_id, shard) of the members of a few hubs (hub, hub_rows): at most BUCKETS rows a shard and one a hub come to the driver."""
+    buckets = F.ceil(F.col("hub_rows") * F.lit(BUCKETS) / F.lit(quota))
+    mine = linked.join(F.broadcast(hubs.select("hub", buckets.alias("_buckets"))), "hub")
+    mine = mine.select("doc_id", "hub", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_buckets")).alias("bucket"))
+    parts: dict[int, dict[int, int]] = {}
+    for r in mine.groupBy("hub", "bucket").agg(F.count("*").alias("n")).collect():
+        parts.setdefault(r["hub"], {})[r["bucket"]] = r["n"]
+    spark = linked.sparkSession
+    to = spark.createDataFrame(packed(parts, free), "hub long, bucket long, shard int")
+    return mine.join(F.broadcast(to), ["hub", "bucket"]).select("doc_id", "shard")
+
+
+def propagate(nodes: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, shard, slot) for every row of nodes (doc_id, unique); links are (doc_id, hub) with one hub (a long) a document."""
+    spark = nodes.sparkSession
     total = nodes.count()
     quota = total // shards
-    chunk = max(2, int(quota * share))
     sizes = written(links.groupBy("hub").agg(F.count("*").alias("hub_rows")).where("hub_rows > 1"), "hubs")
-    linked = hot_join(links.select("doc_id", "hub"), sizes, "hub", "hub_rows", total, "inner")
-    pieces = F.ceil(F.col("hub_rows") / chunk)
-    cut = F.when(pieces > 1, F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), pieces))).otherwise(F.xxhash64("hub"))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")
-    linked = written(linked.select("doc_id", cut.alias("hub"), start.alias("shard")), "linked")
-    for _ in range(rounds if quota else 0):
-        held = linked.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        # At most `shards` rows come to the driver: how many linked documents each shard holds.
-        load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = F.element_at(F.array(*[F.lit(quota - load.get(s, 0)) for s in range(shards)]), F.col("shard") + 1)
-        by_hub = held.groupBy("hub").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("at"))
-        # A hub goes where most of its members are, if the rest of them fit; else to the roomiest of three shards drawn by its hash.
-        drawn = [F.pmod(F.xxhash64("hub", F.lit(7 + i)), F.lit(shards)).cast("int") for i in range(3)]
-        seen = F.transform(F.map_entries("at"), lambda e: F.struct(e["key"].alias("shard"), e["value"].alias("n")))
-        options = F.concat(seen, F.array(*[F.struct(d.alias("shard"), F.coalesce(F.element_at("at", d), F.lit(0)).cast("long").alias("n")) for d in drawn]))
-        free = F.array(*[F.lit(quota - load.get(s, 0)) for s in range(shards)])
-        fits = F.filter(options, lambda o: F.element_at(free, o["shard"] + 1) >= F.col("size") - o["n"])
-        best = F.array_max(F.transform(fits, lambda o: F.struct(o["n"].alias("n"), F.element_at(free, o["shard"] + 1).alias("free"), (-o["shard"]).alias("minus"))))
-        wish = by_hub.where(F.size("at") > 1).select("hub", (-best["minus"]).alias("shard"), (F.col("size") - best["n"]).alias("more")).where("shard is not null")
-        wish = wish.withColumn("bucket", F.pmod(F.xxhash64("hub", F.lit(3)), F.lit(ADMIT)))
-        asked = wish.groupBy("shard", "bucket").agg(F.sum("more").alias("more"))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("start")
+    linked = written(hot_join(links.select("doc_id", "hub"), sizes, "hub", "hub_rows", total, "inner").select("doc_id", "hub", "hub_rows", start), "linked")
+    if not quota:
+        return _placed(nodes, linked.select("doc_id", F.col("start").alias("shard")), shards, total)
+    free = [quota + (s < total % shards) for s in range(shards)]
+    large = F.col("hub_rows") > quota // LARGE
+    done = [_cut(linked.where(large), sizes.where(large), quota, free)]
+    small = linked.where(~large)
+    held = small.groupBy("hub", "start").agg(F.count("*").alias("n"))
+    most = F.max_by("start", F.struct("n", F.xxhash64("hub", "start"))).cast("int").alias("shard")
+    left = written(held.groupBy("hub").agg(F.sum("n").alias("hub_rows"), most), "hubs-left")
+    count, before, turn = left.count(), None, 0
+    while count and (turn == 0 or LAST < count < before):
+        room = F.element_at(F.array(*[F.lit(n).cast("long") for n in free]), F.col("shard") + 1)
+        wish = left.withColumn("bucket", F.struct((-F.floor(F.log2("hub_rows"))).alias("size"), F.pmod(F.xxhash64("hub", F.lit(3 + turn)), F.lit(ADMIT)).alias("hash")))
+        asked = wish.groupBy("shard", "bucket").agg(F.sum("hub_rows").alias("more"))
         upto = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-        let_in = asked.withColumn("upto", F.sum("more").over(upto)).where(F.col("upto") <= room).select("shard", "bucket")
-        moves = wish.join(let_in, ["shard", "bucket"]).select("hub", F.col("shard").alias("to"))
-        linked = written(linked.join(moves, "hub", "left").select("doc_id", "hub", F.coalesce("to", "shard").alias("shard")), "linked")
-    return _placed(nodes, linked, shards, total)
+        let_in = asked.withColumn("upto", F.sum("more").over(upto)).where(F.col("upto") <= room).select("shard", "bucket", F.lit(True).alias("_in"))
+        tried = written(wish.join(let_in, ["shard", "bucket"], "left").select("hub", "hub_rows", "shard", F.col("_in").isNotNull().alias("_in")), "hubs-tried")
+        moved = tried.where("_in")
+        done.append(small.join(moved.select("hub", "shard"), "hub").select("doc_id", "shard"))
+        for r in moved.groupBy("shard").agg(F.sum("hub_rows").alias("n")).collect():  # at most `shards` rows
+            free[r["shard"]] -= r["n"]
+        # Who was refused draws a shard, each with a chance in proportion to its room.
+        turn += 1
+        ends = list(accumulate(free))
+        number = F.pmod(F.xxhash64("hub", F.lit(1000 + turn)), F.lit(max(1, ends[-1])))
+        drawn = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= number)).cast("int")
+        left = tried.where("not _in").select("hub", "hub_rows", F.least(drawn, F.lit(shards - 1)).alias("shard"))
+        before, count = count, left.count()
+    if count:
+        last = left.orderBy(F.col("hub_rows").desc(), "hub").limit(LAST).select("hub", "hub_rows").collect()
+        whole, rest = [], []
+        for r in last:
+            fits = [s for s, n in enumerate(free) if n >= r["hub_rows"]]
+            if fits:
+                s = min(fits, key=free.__getitem__)
+                free[s] -= r["hub_rows"]
+                whole.append((r["hub"], s))
+            else:
+                rest.append((r["hub"], r["hub_rows"]))
+        to = spark.createDataFrame(whole, "hub long, shard int")
+        done.append(small.join(F.broadcast(to), "hub").select("doc_id", "shard"))
+        if rest:
+            done.append(_cut(small, spark.createDataFrame(rest, "hub long, hub_rows long"), quota, free))
+    return _placed(nodes, reduce(DataFrame.unionByName, done), shards, total)
 
 
 def _placed(nodes: DataFrame, linked: DataFrame, shards: int, total: int) -> DataFrame:

@@ -61,3 +61,26 @@ def test_odd_turns(spark):
     got = sorted((r.kind, r.status) for r in tools.link_dialogues(df).collect())
     assert got == [("call", "answered"), ("result", "linked"), ("result", "orphan"), ("result", "orphan"), ("result", "orphan")]
     assert tools.link_dialogues(df.limit(0)).count() == 0
+
+
+def spread(spark, docs, shards):
+    """Of each text, in how many shards it is; row counts of the shards are at most one apart."""
+    got = sharding.shard_documents(docs, shards).join(docs, "doc_id")
+    counts = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(counts) == shards and max(counts) - min(counts) <= 1
+    return {r.text: (r.n, r.shards) for r in got.groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).collect()}
+
+
+def test_large_group_is_cut_no_more_than_quotas_ask(spark):
+    ids = spark.range(400_000).withColumnRenamed("id", "doc_id")
+    n, found = spread(spark, ids.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("doc_id").cast("string"))), 40)["hot"]
+    assert n == 133_334 and found <= 15
+
+
+def test_groups_stay_whole_where_every_row_has_a_copy(spark):
+    pairs = spread(spark, spark.range(4000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).cast("string").alias("text")), 10)
+    assert all(shards == 1 for _, shards in pairs.values())
+    many = spread(spark, spark.range(60_000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).cast("string").alias("text")), 10)
+    assert sum(shards > 1 for _, shards in many.values()) == 0
+    sixths = spread(spark, spark.range(6000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 600).cast("string").alias("text")), 6)
+    assert sum(shards == 1 for _, shards in sixths.values()) >= 6
