@@ -3,8 +3,9 @@
 P(token | context) = P(class | context) * P(token | class). Classes are the most frequent tokens, one each, then the most
 frequent word endings (last three bytes), and a rest. The class is a softmax over hashed features: the token before, the tokens
 two and three before (skips), and the pair before; a context token is itself when frequent and else its ending. Within a
-class, a token has (c + 1) / (N of the class + V of the class + 1), with one unit kept for tokens never seen, so that the
-probabilities of a context sum to at most 1.
+class, a token has p = (c + 1) / (N of the class + V of the class + 1), with one unit kept for tokens never seen, and after
+the token before, whichever it is, (n + PRIOR * p) / (m + PRIOR): n counts the pair of both, m that token before this class.
+So the probabilities of a context sum to at most 1, and the pairs that are told apart grow with the training rows.
 
 Everything gathered covers all training rows: token counts, class sums, and gradient updates. Training is one pass in two
 rounds (a small part of the rows first, then the others from its result): each task makes AdaGrad updates in batches from the broadcast
@@ -35,6 +36,10 @@ HEAD, TOP, ENDINGS, CONTEXT, ROWS = 1 << 16, 24, 71, 4096, 1 << 14
 CLASSES = TOP + ENDINGS + 1
 #: Tokens of a gradient step, its rate, weight rows of a slice, slices averaged at a time, and the first round's share of rows.
 STEP, RATE, SLICE, FAN, FIRST = 2048, 0.3, 256, 32, 8
+#: The weight of a token's share in its class against the counts after the token before; pairs and contexts whose values are broadcast.
+PRIOR, HEAD_FEATURES = 16.0, 1 << 18
+#: What stands before a text's first token.
+START = np.uint64(0x57A27)
 #: The hash and ending of the end token, which no word has.
 END, END_ENDING = np.uint64(0x5EEDED0C), -1
 
@@ -135,6 +140,92 @@ class Vocabulary:
         return classes, (B.mixed(keys) % np.uint64(ROWS)).astype(np.int64), at, there
 
 
+def features(hashes: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the tokens whose class has others too, the hash of each with the token before, and of that token with the class."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[offsets[:-1]] = START
+    at = np.flatnonzero(classes >= TOP)
+    before = B.mixed(before[at])
+    return at, B.mixed(before + hashes[at]), B.mixed(before + B.mixed(classes[at].astype(np.uint64) + np.uint64(7 << 40)))
+
+
+def pair_counts(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(pair, context, token, class, c, n) over all rows of docs (text); c is the token's count, null outside the head."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(words)
+    names = ["pair", "context", "token", "class", "c", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        held: list[list[np.ndarray]] = []
+
+        def merged() -> list[np.ndarray]:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            order = np.argsort(columns[0], kind="stable")
+            pairs = columns[0][order]
+            new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            return [*[c[order[new]] for c in columns[:-1]], np.add.reduceat(columns[-1][order], new)]
+
+        def rows() -> pa.RecordBatch:
+            pair, context, token, kind, c, n = merged()
+            inside = c >= 0
+            # The token is read only to find the count of one outside the head.
+            arrays = [pa.array(pair.view(np.int64)), pa.array(context.view(np.int64)), pa.array(token.view(np.int64), mask=inside), pa.array(kind.astype(np.int32)), pa.array(c, mask=~inside), pa.array(n)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        size = 0
+        for whole in batches:
+            for b in B.pieces(whole, 0):
+                hashes, endings, offsets = tokens(b, 0)
+                classes, _, place, there = v.classes_and_features(hashes, endings, offsets)
+                at, pair, context = features(hashes, offsets, classes)
+                if not len(at):
+                    continue
+                pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+                own = at[first]
+                c = np.where(there[own], v.counts[place[own]] if len(v.counts) else 0, -1)
+                held.append([pair, context[first], hashes[own], classes[own], c, n])
+                size += len(pair)
+                if size > 1_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 500_000:
+                        yield rows()
+                        held, size = [], 0
+        if held:
+            yield rows()
+
+    out = docs.select("text").mapInArrow(run, "pair long, context long, token long, class int, c long, n long").groupBy("pair")
+    return out.agg(*[F.min(x).alias(x) for x in names[1:-1]], F.sum("n").alias("n"))
+
+
+def feature_values(pairs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(feature, n, value) of all pairs and contexts; a token's within-class factor is p times 10 to the sum of its two values."""
+    z = F.element_at(F.array(*[F.lit(float(10**x)) for x in words.log_z]), F.col("class") + 1)
+    # The head is out of the join, so no token has more than one row in HEAD here.
+    rare = pairs.where("c is null").drop("c").join(counts.select("token", "c"), "token")
+    known = pairs.where("c is not null").unionByName(rare)
+    own = known.select(F.col("pair").alias("feature"), "n", F.log10(1 + F.col("n") * z / (PRIOR * (F.col("c") + 1))).alias("value"))
+    contexts = written(pairs.groupBy(F.col("context").alias("feature")).agg(F.sum("n").alias("n")), "lm-contexts")
+    return own.unionByName(contexts.select("feature", "n", (-F.log10(1 + F.col("n") / PRIOR)).alias("value")))
+
+
+class HeadFeatures:
+    """The values of the most frequent features."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 for others, and whether each is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        return np.where(there, self.values[at], 0.0), there
+
+
 def fitted_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     """The vocabulary, all training tokens, distinct training tokens. At most HEAD + ENDINGS rows come to the driver."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -245,11 +336,15 @@ def score(docs: DataFrame) -> DataFrame:
     early = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(FIRST)) == 0
     weights = trained(train.where(early), words, start)
     weights = trained(train.where(~early), words, weights)
-    shared, vocabulary = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(words)
+    pairs = written(pair_counts(train, words), "lm-pairs")
+    values = feature_values(pairs, counts, words)
+    head = values.orderBy(F.col("n").desc(), "feature").limit(HEAD_FEATURES).select("feature", "value").toPandas()
+    common = HeadFeatures(head["feature"].to_numpy(np.int64).view(np.uint64), head["value"].to_numpy(np.float64))
+    shared, vocabulary, frequent = (spark.sparkContext.broadcast(x) for x in (weights, words, common))
     key = F.xxhash64("doc_id", "text").alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, voc = shared.value, vocabulary.value
+        w, voc, top = shared.value, vocabulary.value, frequent.value
         for whole in batches:
             for b in B.pieces(whole, 3):
                 hashes, endings, offsets = tokens(b, 3)
@@ -259,20 +354,26 @@ def score(docs: DataFrame) -> DataFrame:
                     part = classes[i : i + STEP]
                     logs[i : i + STEP] = _log_probability(w, rows[:, i : i + STEP], part)
                 logs = logs / math.log(10) - voc.log_z[classes]
+                own, pair, context = features(hashes, offsets, classes)
+                logs[own] += top.found(pair)[0] + top.found(context)[0]
                 seen = np.where(there, np.log10((voc.counts[at] if len(voc.counts) else 0) + 1.0), 0.0)
                 first = offsets[:-1]
                 sums = [np.add.reduceat(x, first) for x in (there.astype(np.int64), seen, logs)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(offsets)), *map(pa.array, sums)], ["key", "doc_id", "held_out", "n_tokens", "known", "seen", "logs"])
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens outside the head, once a text with their number; the end token's row stands for the text itself."""
-        voc = vocabulary.value
+        """Tokens and features outside their heads, once a text with their number; the end token's row stands for the text itself."""
+        voc, top = vocabulary.value, frequent.value
         for whole in batches:
             for b in B.pieces(whole, 1):
-                hashes, _, offsets = tokens(b, 1)
+                hashes, endings, offsets = tokens(b, 1)
                 doc = np.repeat(np.arange(len(b)), np.diff(offsets))
-                some = ~voc.places(hashes)[1] | (hashes == END)
-                h, d = hashes[some], doc[some]
+                classes, _, _, there = voc.classes_and_features(hashes, endings, offsets)
+                some = ~there | (hashes == END)
+                own, pair, context = features(hashes, offsets, classes)
+                pair_rare, context_rare = ~top.found(pair)[1], ~top.found(context)[1]
+                h = np.concatenate([hashes[some], pair[pair_rare], context[context_rare]])
+                d = np.concatenate([doc[some], doc[own[pair_rare]], doc[own[context_rare]]])
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
                 new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -284,14 +385,17 @@ def score(docs: DataFrame) -> DataFrame:
     scored = docs.select(key, "doc_id", held, "text").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, seen double, logs double")
     rare = docs.select(key, "text").mapInArrow(tails, "key long, token long, times int")
     end = F.col("token") == F.lit(int(END))
-    texts = rare.where(end).select("key", F.lit(None).cast("long").alias("c"), "times")
-    # The head is out of both sides, so no token has more than one row in HEAD here.
-    met = rare.where(~end).join(counts.select("token", "c"), "token").select("key", "c", "times").unionByName(texts)
-    tail = met.groupBy("key").agg(F.sum(F.when(F.col("c").isNull(), 1)).alias("copies"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("tail_seen"))
+    texts = rare.where(end).select("key", F.lit(None).cast("int").alias("known"), F.lit(None).cast("double").alias("value"), "times")
+    # Tokens and features share one join, their hashes being of 64 bits; the heads are out of its left side, so no key has many rows there.
+    table = counts.select("token", F.lit(1).alias("known"), F.log10(F.col("c") + 1.0).alias("value"), F.lit(0.0).alias("gain"))
+    table = table.unionByName(values.select(F.col("feature").alias("token"), F.lit(0).alias("known"), F.lit(0.0).alias("value"), F.col("value").alias("gain")))
+    met = rare.where(~end).join(table, "token").select("key", "known", "value", "gain", "times").unionByName(texts.withColumn("gain", F.lit(None).cast("double")))
+    total = lambda c: F.sum(F.col("times") * F.col(c)).alias("tail_" + c)
+    tail = met.groupBy("key").agg(F.sum(F.when(F.col("known").isNull(), 1)).alias("copies"), total("known"), total("value"), total("gain"))
     out = scored.join(tail, "key", "left")
     of = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    seen = F.col("seen") + of("tail_seen")
+    seen = F.col("seen") + of("tail_value")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + of("tail_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (seen - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("logs") + seen).alias("score"),
+        (seen - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), (F.col("logs") + seen + of("tail_gain")).alias("score"),
     )

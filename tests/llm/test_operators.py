@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from bulletin.llm import bpe, bytesops, media, neardup, queries, substrings
 from bulletin.llm.suffixes import equal_windows, suffix_array
@@ -155,3 +156,21 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert out and all(r.n_tokens >= 0 for r in out)
+
+
+def test_the_token_before_tells_words_of_a_class_apart(spark):
+    from bulletin.llm import maxent
+
+    # Words with one ending, so of one class; each has a word of its own before it, and both are as frequent.
+    words = [f"{a}{b}ing" for a in "bcdfghjklm" for b in "aeiou"] + [f"{a}{b}{c}ung" for a in "bcdf" for b in "aeiou" for c in "lm"]
+    after = {w: words[(i * 7 + 3) % len(words)] for i, w in enumerate(words)}
+    rng = random.Random(5)
+    line = lambda: " ".join(f"{w} {after[w]}" for w in rng.choices(words, k=40))
+    right, wrong = " ".join(f"{w} {after[w]}" for w in words), " ".join(f"{w} {after[words[(i + 1) % len(words)]]}" for i, w in enumerate(words))
+    rows = [(i, line()) for i in range(3000)]
+    ids = [i for i in range(5000, 6000) if __import__("zlib").crc32(str(i).encode()) % 7 == 2][:2]
+    df = spark.createDataFrame(rows + [(ids[0], right), (ids[1], wrong)], "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score(df).where(F.col("doc_id").isin(ids)).collect()}
+    a, b = got[ids[0]], got[ids[1]]
+    assert a.held_out and b.held_out and abs(a.base_score - b.base_score) < 1e-6
+    assert a.score > b.score + 50
