@@ -100,8 +100,8 @@ def kept_terms(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(doc_id, terms, counts): positions in the kept terms, ascending, and how often each occurs in the whole text."""
+def vectors(docs: DataFrame, terms: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, terms, counts) and the columns to carry: positions in the kept terms, ascending, and how often each occurs in the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -116,9 +116,10 @@ def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 of, term = np.divmod(key, max(len(terms), 1))
                 ends = pa.array(np.searchsorted(of, np.arange(len(b) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists, *b.columns[2:]], ["doc_id", "terms", "counts", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>" + kinds)
 
 
 class Index:
@@ -177,11 +178,11 @@ class Index:
         return at, score
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (doc_id of the nearest examples, nearest first) of every document."""
+def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (doc_id of the nearest examples, nearest first) of every document, and the columns to carry."""
     chosen = sample(docs, labels)
     terms = kept_terms(docs, chosen)
-    table = written(vectors(docs, terms), "tox-vectors")
+    table = written(vectors(docs, terms, carry), "tox-vectors")
     total = table.count()
     df = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
     idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1e-3 for t in range(len(terms))])
@@ -205,8 +206,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 vote = 1 / (1.05 - np.minimum(cosine, 1.0))
                 scores.append(min(1.0, float((vote @ index.toxic[at] + PRIOR * rate) / (vote.sum() + PRIOR))))
                 evidence.append(index.ids[at].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *b.columns[3:]], ["doc_id", "score", "evidence", *carry])
 
-    out = table.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    out = table.mapInArrow(run, "doc_id long, score double, evidence array<long>" + kinds)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *carry)

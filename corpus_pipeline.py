@@ -13,21 +13,31 @@ from bulletin.llm.common import documents, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids; a null doc_id is a value like others."""
-    gone = ids.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row, as a written table: doc_id may repeat or be null."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose _row is not among gone, without that column."""
+    return rows.join(gone.select("_row"), "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't call toxic; a doc_id goes if any of its rows is called so."""
-    scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, scores.where("predicted = 1"))
+    """The rows that the nearest labelled examples don't call toxic."""
+    rows = keyed(docs)
+    scores = toxicity.score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_row",))
+    return without(rows, scores.where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest doc_id."""
-    return without(docs, neardup.near_duplicates(docs, width=5, part=80).where("not kept"))
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the first one with the smallest doc_id, null last."""
+    rows = keyed(docs)
+    order = rows.select("_row", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "_row")
+    order = written(order.select("_row", F.monotonically_increasing_id().alias("_key")), "stage-order")
+    texts = written(rows.select("_row", "text").join(order, "_row").select(F.col("_key").alias("doc_id"), "text"), "stage-texts")
+    gone = neardup.near_duplicates(texts, width=5, part=80).where("not kept").select(F.col("doc_id").alias("_key"))
+    return without(rows, order.join(gone, "_key"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

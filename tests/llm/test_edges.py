@@ -84,3 +84,18 @@ def test_groups_stay_whole_where_every_row_has_a_copy(spark):
     assert sum(shards > 1 for _, shards in many.values()) == 0
     sixths = spread(spark, spark.range(6000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 600).cast("string").alias("text")), 6)
     assert sum(shards == 1 for _, shards in sixths.values()) >= 6
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    import corpus_pipeline as P
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    called = toxicity.score(docs, spark.read.parquet(f"{folder}/labels.parquet")).join(docs, "doc_id").select("text", "predicted")
+    bad, good = (called.where(F.col("predicted") == y).select(F.lit(None).cast("long").alias("doc_id"), "text").limit(1).collect() for y in (1, 0))
+    nameless = spark.createDataFrame(bad + good, "doc_id long, text string")
+    assert [r.text for r in P.drop_toxic(spark, docs.unionByName(nameless), folder).where("doc_id is null").collect()] == [good[0].text]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (1, a), (None, b), (5, c), (5, c), (1, b + " end")]
+    got = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b + " end"), (5, c)]
