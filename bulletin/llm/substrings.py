@@ -109,7 +109,7 @@ class _Block:
         self.ids, self.null = table["doc_id"].fill_null(-1).to_numpy(), table["doc_id"].is_null().to_numpy()
         self.data, self.offsets = B.laid_out(table["text"])
         copies = [x for row in notes["copies"].to_pylist() if row for x in row] if len(notes) else []
-        self.copy = np.isin(self.ids, np.array(copies, np.int64)) & ~self.null
+        self.copy = np.isin(table["salt"].to_numpy(), np.array(copies, np.int64)) & ~self.null
         out = np.flatnonzero(self.copy | self.null)
         doc, first, last, at, h = runs(self.data, self.offsets)
         some = ~np.isin(doc, out)
@@ -223,7 +223,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes) of every document, and the columns to carry."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("key")), "sub-facts")
+    salt = F.xxhash64("doc_id", F.sha2(text, 256)).alias("salt")  # a doc_id may have several texts
+    facts = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("key"), salt), "sub-facts")
     totals = facts.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     size = totals["n"] or 0
     blocks, parts = max(32, -(-size // BLOCK)), max(32, -(-size // PART))
@@ -231,13 +232,13 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
 
     same = written(facts.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sub-same")
-    copy = hot_join(facts.select("doc_id", "key"), same, "key", "copies", totals["rows"], "inner").where("doc_id > first")
-    copies = written(copy.groupBy(block).agg(F.collect_set("doc_id").alias("copies")), "sub-copies")  # of one block: bounded by its rows
+    copy = hot_join(facts.select("doc_id", "key", "salt"), same, "key", "copies", totals["rows"], "inner").where("doc_id > first")
+    copies = written(copy.groupBy(block).agg(F.collect_set("salt").alias("copies")), "sub-copies")  # of one block: bounded by its rows
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     copied = copies.select("block", none("int", "part"), *[none("binary", c) for c in ("bits", "run", "at", "n", "low")], "copies")
 
     table = f"bulletin_{uuid.uuid4().hex}"
-    dealt = docs.select(block, "doc_id", F.xxhash64("text").alias("salt"), text.alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry]).repartition(buckets, "block")
+    dealt = docs.select(block, "doc_id", salt, text.alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry]).repartition(buckets, "block")
     dealt.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     texts = spark.table(table).groupBy("block")
 

@@ -99,3 +99,10 @@ def test_pipeline_drops_rows_not_ids(spark):
     rows = [(None, a), (1, a), (None, b), (5, c), (5, c), (1, b + " end")]
     got = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b + " end"), (5, c)]
+
+
+def test_a_copy_does_not_take_its_namesake_with_it(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in ("left", "right"))
+    rows = [(3, a), (7, a), (7, b), (9, "new " * 20 + b)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes - r.n_removed) for r in got) == [(3, len(a)), (7, 0), (7, len(b)), (9, 80)]
