@@ -11,8 +11,27 @@ _DOTTED = "year({0}) || '.' || lpad(cast(month({0}) as string), 2, '0') || '.' |
 _SPACED = "year({0}) || '. ' || month({0}) || '. ' || day({0}) || '.'"
 _NAMED = "month({0}) || '월 ' || day({0}) || '일'"
 
+#: Pieces of sentences about a person's experience, which a row's key puts together, and short grounds that sentences may cite.
+_HEADS = ("저는 ", "동아리에서 ", "Kafka와 도커로 ", "자바스크립트와 스프링부트로 ", "부트캠프에서 12명과 ", "Redis와 java로 ", "미혼자로서 ", "스프링클러 업체에서 ", "용모 단정하게 ", "2.5배 빠른 k8s로 ", "여성 우대 회사에서 ")
+_MIDDLES = ("자격증을 취득하", "고객 만족도를 높이", "매출 30%를 올리", "백엔드 설계를 맡", "좋은 반응을 얻", "팀에 입사하", "문서 정리를 하", "설계 능력을 보이", "최우수 평가에서 칭찬을 받", "쿠버네티스와 자바를 쓰", "시발점을 찾", "a@b.co 010-1234-5678 연락을 하", "백엔드를 운영하")
+_ENDINGS = ("였다.", "였습니다.", "겠습니다.", "고 싶어요.", "였죠!", "였지만, 인정을 받았습니다.", "ㄹ 것이다.", "기로 했다.")
+_GROUNDS = ("백엔드", "설계", "문서 정리 경험", "Kafka 운영 1년", "", "c+", "고객 만족도 조사")
+
+
+def _pick(pieces: tuple[str, ...], number: str) -> str:
+    whens = " ".join(f"when {i} then '{x}'" for i, x in enumerate(pieces))
+    return f"case cast({number} as bigint) % {len(pieces)} {whens} end"
+
+
+def _sentence(key: str) -> str:
+    return f"{_pick(_HEADS, key)} || {_pick(_MIDDLES, f'floor({key} / 11)')} || {_pick(_ENDINGS, f'floor({key} / 143)')}"
+
+
+_STORY = " || ' ' || ".join(_sentence(f"(k * {a} + {b})") for a, b in ((1, 0), (37, 5), (101, 11)))
+_SOURCE = f"{_pick(_HEADS, '(k * 3 + 1)')} || {_pick(_MIDDLES, '(k * 5 + 2)')} || ' ' || word"
+
 VIEW = f"""
-select *, '[' || seg || ' ' || word || ']' || chr(10) || date_line || chr(10) || '결과 발표: ' || {_DOTTED.format("(d + 400)")} || chr(10)
+select *, {_STORY} as story, {_SOURCE} as source, {_pick(_GROUNDS, "k")} as ground, {_pick(_GROUNDS, "floor(k / 7)")} as ground2, '[' || seg || ' ' || word || ']' || chr(10) || date_line || chr(10) || '결과 발표: ' || {_DOTTED.format("(d + 400)")} || chr(10)
   || '지원자격' || chr(10) || '- ' || grade || '학년 이상 재학' || chr(10)
   || case when k % 2 = 0 then '- 평점 3.' || k % 9 || ' 이상' || chr(10) else '' end
   || case k % 3 when 0 then '- 컴퓨터공학과 재학생' || chr(10) when 1 then '- 전공 무관' || chr(10) else '' end
@@ -43,9 +62,15 @@ from (
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan with fewer splits than the session has cores, dealt out to them; a larger scan as it is. For work that costs more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, title, body, d (collected on), and what is in them: e, style, grade, asks, prefs, word, kind."""
-    return spark.sql(VIEW, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(VIEW, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet")), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 #: The same as a common table expression p for DuckDB.
