@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .patterns import U
-from .text import found, first_of, found_all, lines, parts, rstrip, strip, sub, texts
+from .text import bound, first_of, found, found_all, hit, lines, may_hold, parts, strip, sub, texts
 
 
 def discriminatory(c: Column) -> Column:
     """The names of the categories of unlawful demands in the text, in their order."""
-    return F.filter(F.array(*[F.when(found(c, p), F.lit(name)) for name, p in P.DISCRIMINATORY.items()]), lambda x: x.isNotNull())
+    return bound(c, lambda v: F.filter(F.array(*[F.when(hit(v, p), F.lit(name)) for name, p in P.DISCRIMINATORY.items()]), lambda x: x.isNotNull()))
 
 
 # ---- Deadlines ----
@@ -21,14 +21,15 @@ def discriminatory(c: Column) -> Column:
 def label_hits(c: Column) -> Column:
     """Every hit of every label: rank of the label, number of the hit, 1-based position."""
 
-    labels = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(w).alias("label")) for i, w in enumerate(P.DEADLINE_LABELS)])
-    pieces = F.transform(F.filter(labels, lambda x: F.contains(c, x["label"])), lambda x: F.struct(x["rank"].alias("rank"), F.length(x["label"]).alias("n"), F.transform(F.split(c, F.concat(F.lit("\\Q"), x["label"], F.lit("\\E")), -1), F.length).alias("gaps")))
+    def one(rank: int, label: str) -> Column:
+        # The lengths between hits, summed up in one pass.
+        gaps = F.transform(F.split(c, "\\Q" + label + "\\E", -1), F.length)
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+        places = F.aggregate(gaps, start, lambda a, g: F.struct((a["at"] + g + len(label)).alias("at"), F.concat(a["out"], F.array(a["at"] + g)).alias("out")), lambda a: F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1))
+        hits = F.transform(places, lambda at, i: F.struct(F.lit(rank).alias("rank"), (i + 1).alias("n"), at.alias("at")))
+        return F.when(F.contains(c, F.lit(label)), hits).otherwise(F.array().cast("array<struct<rank:int,n:int,at:int>>"))
 
-    def positions(x: Column) -> Column:
-        upto = lambda i: F.aggregate(F.slice(x["gaps"], F.lit(1), i), F.lit(0), lambda a, g: a + g) + (i - 1) * x["n"]
-        return F.transform(F.sequence(F.lit(1), F.size(x["gaps"]) - 1), lambda i: F.struct(x["rank"].alias("rank"), i.alias("n"), (upto(i) + 1).alias("at")))
-
-    return F.flatten(F.transform(pieces, positions))
+    return F.concat(*[one(i, w) for i, w in enumerate(P.DEADLINE_LABELS)])
 
 
 def window(c: Column, at: Column) -> Column:
@@ -43,22 +44,28 @@ def window(c: Column, at: Column) -> Column:
     return F.when(stop > 0, F.left(block, stop)).otherwise(block)
 
 
-def dates(chunk: Column) -> Column:
-    """The dates of a window that can be dates: year text, month, day, and the 12 characters that follow."""
-    between, whole = parts(chunk, P.DATE), found_all(chunk, P.DATE)
-    size = F.size(whole)
-    number = lambda g, i: F.element_at(found_all(chunk, P.DATE, g), i)
-    total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+def matched(chunk: Column) -> Column:
+    """What a window's dates are and what stands between them: one struct, so that each pattern runs once a window."""
+    return F.struct(chunk.alias("chunk"), parts(chunk, P.DATE).alias("between"), *[found_all(chunk, P.DATE, i).alias(k) for i, k in enumerate(("whole", "year", "month", "day"))])
+
+
+def dates(m: Column) -> Column:
+    """The dates of a window (see :func:`matched`) that can be dates: year text, month, day, and the 12 characters that follow."""
+    rows = F.arrays_zip(m["whole"], m["year"], m["month"], m["day"], m["between"])  # one more piece between than dates
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def date(i: Column) -> Column:
-        start = total(between, i) + total(whole, i - 1)
-        end = start + F.length(F.element_at(whole, i))
-        low = F.greatest(F.lit(0), start - 12)
-        around = F.substring(chunk, low + 1, end + 6 - low)
-        return F.struct(number(1, i).alias("year"), number(2, i).cast("int").alias("month"), number(3, i).cast("int").alias("day"), around.alias("around"), F.substring(chunk, end + 1, F.lit(12)).alias("after"))
+    def place(a: Column, x: Column) -> Column:
+        head = a["at"] + F.length(x["between"])
+        tail = head + F.coalesce(F.length(x["whole"]), F.lit(0))
+        return F.struct(tail.alias("at"), F.concat(a["out"], F.array(F.struct(head.alias("start"), tail.alias("end")))).alias("out"))
 
-    all_dates = F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), date)
-    return F.filter(all_dates, lambda d: d["month"].between(1, 12) & d["day"].between(1, 31) & ~found(d["around"], P.NOT_DATE))
+    def date(x: Column) -> Column:
+        low = F.greatest(F.lit(0), x["at"]["start"] - 12)
+        around = F.substring(m["chunk"], low + 1, x["at"]["end"] + 6 - low)
+        return F.struct(x["year"].alias("year"), x["month"].cast("int").alias("month"), x["day"].cast("int").alias("day"), around.alias("around"), F.substring(m["chunk"], x["at"]["end"] + 1, F.lit(12)).alias("after"))
+
+    placed = F.arrays_zip(m["year"], m["month"], m["day"], F.slice(F.aggregate(rows, start, place, lambda a: a["out"]), F.lit(1), F.size(m["whole"])).alias("at"))
+    return F.filter(F.transform(F.when(F.size(m["whole"]) > 0, placed).otherwise(F.slice(placed, 1, 0)), date), lambda d: d["month"].between(1, 12) & d["day"].between(1, 31) & ~found(d["around"], P.NOT_DATE))
 
 
 def due_candidates(c: Column, as_of: Column) -> Column:
@@ -67,8 +74,11 @@ def due_candidates(c: Column, as_of: Column) -> Column:
     def dated(h: Column) -> Column:
         return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), window(c, h["at"]).alias("chunk"), found(F.substring(c, F.greatest(F.lit(1), h["at"] - 8), F.least(F.lit(8), h["at"] - 1)), P.ROUND_BEFORE).alias("round"))
 
+    def parted(h: Column) -> Column:
+        return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), h["round"].alias("round"), h["chunk"].alias("chunk"), matched(h["chunk"]).alias("m"))
+
     def read(h: Column) -> Column:
-        return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), h["round"].alias("round"), F.left(strip(h["chunk"]), F.lit(80)).alias("raw"), dates(h["chunk"]).alias("dates"))
+        return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), h["round"].alias("round"), F.left(strip(h["chunk"]), F.lit(80)).alias("raw"), dates(h["m"]).alias("dates"))
 
     def resolved(h: Column) -> Column:
         last = F.element_at(h["dates"], -1)
@@ -78,7 +88,7 @@ def due_candidates(c: Column, as_of: Column) -> Column:
         iso = F.try_to_date(F.format_string("%04d-%02d-%02d", number, last["month"], last["day"]), "yyyy-MM-dd")
         return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), h["round"].alias("round"), iso.alias("iso"), h["raw"].alias("raw"), year.isNull().alias("year_inferred"), found(last["after"], P.TIME).alias("has_time"))
 
-    hits = F.filter(F.transform(F.transform(label_hits(c), dated), read), lambda h: F.size(h["dates"]) > 0)
+    hits = F.filter(F.transform(F.filter(F.transform(F.transform(label_hits(c), dated), parted), lambda h: F.size(h["m"]["whole"]) > 0), read), lambda h: F.size(h["dates"]) > 0)
     return F.filter(F.transform(hits, resolved), lambda h: h["iso"].isNotNull() & (h["iso"] <= F.date_add(as_of, P.MAX_AHEAD_DAYS)))
 
 
@@ -105,8 +115,11 @@ def max_chars(c: Column) -> Column:
 
 def form_questions(c: Column) -> Column:
     """Numbered or bulleted requests for an answer: order, question, max_chars."""
-    read = F.transform(F.filter(lines(c), lambda x: found(x, P.QUESTION_LINE)), lambda x: F.struct(strip(F.regexp_extract(x, U(P.QUESTION_LINE), 1)).alias("q"), F.regexp_extract(x, U(P.QUESTION_LINE), 2).alias("limit")))
+    # The line's pattern asks for six characters of a question, so an extract of none is no hit; lines that are shorter can't hold one.
+    read = F.transform(F.filter(lines(c), lambda x: F.length(x) > 6), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, U(P.QUESTION_LINE), 1).alias("raw")))
+    read = F.transform(F.filter(read, lambda x: F.length(x["raw"]) > 0), lambda x: F.struct(strip(x["raw"]).alias("q"), x["line"].alias("line")))
     asked = F.filter(read, lambda x: found(x["q"], P.QUESTION_HINT) & ~found(x["q"], P.QUESTION_NOT) & ~found(x["q"], P.SENSITIVE, "i") & (F.size(discriminatory(x["q"])) == 0))
+    asked = F.transform(asked, lambda x: F.struct(x["q"].alias("q"), F.regexp_extract(x["line"], U(P.QUESTION_LINE), 2).alias("limit")))
     return F.transform(asked, lambda x, i: F.struct((i + 1).alias("order"), x["q"].alias("question"), F.coalesce(F.nullif(max_chars(x["limit"]), F.lit(0)), max_chars(x["q"])).alias("max_chars")))
 
 
@@ -118,10 +131,11 @@ def qualification_lines(c: Column) -> Column:
     state = lambda budget, out: F.struct(budget.alias("budget"), out.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        heading = found(x, P.QUAL_HEADING) & ~found(x, P.BULLET_LINE)
+        heading = hit(x, P.QUAL_HEADING) & ~found(x, P.BULLET_LINE)
         more = F.concat(a["out"], F.array(x))
         return (
             F.when(F.length(x) == 0, a)
+            .when((a["budget"] == 0) & ~heading, a)  # outside a section only a heading counts
             .when(found(x, P.SECTION_END), state(F.lit(0), a["out"]))
             .when(found(x, P.LINE_SKIP), a)
             .when(heading, state(F.lit(P.QUAL_LINES), more))
@@ -132,19 +146,21 @@ def qualification_lines(c: Column) -> Column:
     return F.aggregate(F.transform(lines(c), strip), state(F.lit(0), F.array().cast("array<string>")), step, lambda a: a["out"])
 
 
-def major_in(x: Column) -> Column:
-    label = sub(strip(F.regexp_extract(x, U(P.MAJOR_LABEL), 1)), r"[.,·]+$")
-    named = F.when(found(x, P.MAJOR_LABEL), label).otherwise(first_of(x, P.MAJOR_ASKED))
-    stopped = F.exists(texts(*P.MAJOR_STOP), lambda w: F.contains(named, w))
-    return F.when(found(x, P.MAJOR_ANY) & ~found(x, P.MAJOR_FREE) & named.isNotNull() & ~stopped & ~found(named, P.MAJOR_GENERIC), named)
+def majors(rows: Column) -> Column:
+    """The majors that lines ask for, one a line that asks for any."""
+    about = F.filter(rows, lambda x: hit(x, P.MAJOR_ANY) & ~hit(x, P.MAJOR_FREE))
+    labelled = F.transform(about, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, U(P.MAJOR_LABEL), 1).alias("label")))
+    named = F.transform(labelled, lambda x: F.when(F.length(x["label"]) > 0, sub(strip(x["label"]), r"[.,·]+$")).otherwise(first_of(x["line"], P.MAJOR_ASKED)))
+    stopped = lambda n: F.exists(texts(*P.MAJOR_STOP), lambda w: F.contains(n, w))
+    return F.filter(named, lambda n: n.isNotNull() & ~stopped(n) & ~found(n, P.MAJOR_GENERIC))
 
 
 def qualifications(rows: Column) -> Column:
     """year, gpa, major from qualification lines: the first line that says it."""
     first = lambda f: F.try_element_at(F.filter(F.transform(rows, f), lambda v: v.isNotNull()), F.lit(1))
-    gpa = lambda x: F.coalesce(*[first_of(x, p) for p in P.GPA])
-    year = F.coalesce(first(lambda x: first_of(x, P.YEAR_GRADE)), first(lambda x: first_of(x, P.YEAR_SEMESTER)))
-    return F.struct(year.alias("year"), first(gpa).alias("gpa"), first(major_in).alias("major"))
+    gpa = lambda x: F.coalesce(*[F.when(may_hold(x, p), first_of(x, p)) for p in P.GPA])
+    year = F.coalesce(first(lambda x: F.when(F.contains(x, F.lit("학년")), first_of(x, P.YEAR_GRADE))), first(lambda x: F.when(F.contains(x, F.lit("학기")), first_of(x, P.YEAR_SEMESTER))))
+    return F.struct(year.alias("year"), first(gpa).alias("gpa"), F.try_element_at(majors(rows), F.lit(1)).alias("major"))
 
 
 def preferences(c: Column) -> Column:
@@ -158,7 +174,7 @@ def preferences(c: Column) -> Column:
         more = F.when(F.size(discriminatory(item)) > 0, a["items"]).otherwise(F.concat(a["items"], F.array(item)))
         return (
             F.when(a["done"], a)
-            .when(~a["open"], state(found(x, P.PREFERENCE_HEADING), no, a["items"]))
+            .when(~a["open"], state((F.contains(x, F.lit("우대")) | F.contains(x, F.lit("가점"))) & found(x, P.PREFERENCE_HEADING), no, a["items"]))
             .when(blank, state(yes, F.size(a["items"]) > 0, a["items"]))
             .when(~found(x, P.PREFERENCE_ITEM), state(yes, yes, a["items"]))
             .otherwise(state(yes, F.size(more) >= P.MAX_KEYWORDS, more))
@@ -171,7 +187,7 @@ def preferences(c: Column) -> Column:
 
 
 def guess_type(title: Column, c: Column) -> Column:
-    count = lambda x, p: F.regexp_count(x, F.lit(U(p)))
+    count = lambda x, p: F.when(may_hold(x, p), F.regexp_count(x, F.lit(U(p)))).otherwise(0)
     scores = F.array(*[F.struct((count(title, p) * 5 + count(c, p)).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, p) in enumerate(P.TYPE_HINTS.items())])
     best = F.array_max(scores)
     return F.when(best["score"] > 0, best["name"])
@@ -179,10 +195,10 @@ def guess_type(title: Column, c: Column) -> Column:
 
 def signals(c: Column, has_deadline: Column, title: Column) -> Column:
     academic = found(title, P.ACADEMIC)
-    hit = lambda x, p: F.when(found(x, p), F.regexp_extract(x, U(p), 0))
-    fits, who = ~academic & found(c, P.APPLICABLE), ~academic & found(c, P.ELIGIBILITY)
+    first = lambda x, p: F.nullif(F.regexp_extract(x, U(p), 0), F.lit(""))
+    fits, who = ~academic & hit(c, P.APPLICABLE), ~academic & hit(c, P.ELIGIBILITY)
     until = ~academic & has_deadline
-    hits = F.when(academic, F.array(hit(title, P.ACADEMIC))).otherwise(F.filter(F.array(hit(c, P.APPLICABLE), hit(c, P.ELIGIBILITY)), lambda x: x.isNotNull()))
+    hits = F.when(academic, F.array(first(title, P.ACADEMIC))).otherwise(F.filter(F.array(first(c, P.APPLICABLE), first(c, P.ELIGIBILITY)), lambda x: x.isNotNull()))
     score = fits.cast("int") + who.cast("int") + until.cast("int")
     return F.struct(fits.alias("applicable"), who.alias("has_eligibility"), until.alias("has_deadline"), academic.alias("academic_admin"), hits.alias("hits"), score.alias("score"), (~academic & (score >= 2)).alias("likely_posting"))
 
@@ -223,13 +239,14 @@ def plain_keywords(title: Column, c: Column) -> Column:
     keep = lambda ws: F.filter(ws, lambda w: ~w.isin(*P.STOPWORDS))
     head, body = keep(found_all(F.coalesce(title, F.lit("")), P.WORD)), keep(found_all(F.coalesce(c, F.lit("")), P.WORD))
     points = F.transform(F.concat(F.transform(head, lambda w: F.struct(w.alias("w"), F.lit(5).alias("p"))), F.transform(body, lambda w: F.struct(w.alias("w"), F.lit(1).alias("p")))), lambda x, i: F.struct(x["w"].alias("w"), i.alias("at"), x["p"].alias("p")))
-    # Sorted by word, equal words are neighbours: one pass sums them.
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("at"), F.lit(0).alias("p"), F.array().cast("array<struct<p:int,at:int,w:string>>").alias("out"))
-    closed = lambda a: F.when(a["p"] >= 2, F.concat(a["out"], F.array(F.struct((-a["p"]).alias("p"), a["at"].alias("at"), a["w"].alias("w"))))).otherwise(a["out"])
+    # Sorted by word, equal words are neighbours, the first of them leading: each run is summed by itself.
+    none = F.array().cast("array<int>")
+    heads = lambda xs: F.filter(F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(none), lambda i: (i == 0) | ~F.get(xs, i - 1)["w"].eqNullSafe(F.get(xs, i)["w"]))
 
-    def step(a: Column, x: Column) -> Column:
-        same = F.struct(a["w"].alias("w"), a["at"].alias("at"), (a["p"] + x["p"]).alias("p"), a["out"].alias("out"))
-        return F.when(a["w"].eqNullSafe(x["w"]), same).otherwise(F.struct(x["w"].alias("w"), x["at"].alias("at"), x["p"].alias("p"), closed(a).alias("out")))
+    def summed(xs: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda b, j: F.slice(xs, b + 1, F.coalesce(F.get(starts, j + 1), F.size(xs)) - b))
+        totals = F.transform(runs, lambda r: F.struct((-F.aggregate(r, F.lit(0), lambda a, x: a + x["p"])).alias("p"), F.get(r, F.lit(0))["at"].alias("at"), F.get(r, F.lit(0))["w"].alias("w")))
+        return F.array_sort(F.filter(totals, lambda x: x["p"] <= -2))
 
-    ranked = F.array_sort(F.aggregate(F.array_sort(points), start, step, closed))
+    ranked = bound(F.array_sort(points), lambda xs: bound(heads(xs), lambda starts: summed(xs, starts)))
     return F.transform(F.slice(ranked, 1, P.MAX_KEYWORDS), lambda x: x["w"])

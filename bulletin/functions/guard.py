@@ -50,6 +50,12 @@ def fact_check(c: Column, sources: Column) -> Column:
     return F.array_distinct(F.concat(numbers, latin, spellings(c, hay)))
 
 
+def fact_tokens(c: Column) -> Column:
+    """Numbers of two digits or more and Latin words, as keys, once each."""
+    numbers = F.filter(F.transform(found_all(c, P.NUMBER), strip), lambda x: F.length(sub(x, r"\D")) >= 2)
+    return F.array_distinct(F.transform(F.concat(numbers, found_all(c, P.LATIN)), norm_key))
+
+
 def _has_any(c: Column, words: tuple[str, ...]) -> Column:
     return F.exists(texts(*words), lambda w: F.contains(c, w))
 

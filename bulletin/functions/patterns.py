@@ -151,6 +151,8 @@ COSINE_ZERO, COSINE_FULL = 0.365, 0.509
 PRICES = {"HCX-DASH-002": (0.00025, 0.001), "HCX-005": (0.00125, 0.005), "HCX-007": (0.00125, 0.005)}
 STATUS = {"INVALID_INPUT": 400, "RATE_LIMITED": 429, "LLM_UNAVAILABLE": 503}
 DEADLINE_S, CACHED_S, FIRST_S, SPARE_S = 16.0, 0.2, 3.0, 1.0
+# Reports.
+MAX_LINES, TONE_TARGET, REGEN_SIMILAR = 3, 0.8, 0.5
 
 # ---- End of the fixed values. ----
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +31,64 @@ def found(c: Column, pattern: str, flags: str = "") -> Column:
     return c.rlike(U(pattern, flags))
 
 
+def _closed(masked: str, at: int) -> int:
+    """Where the bracket that opens at a place of a pattern is closed."""
+    depth = 0
+    for i in range(at, len(masked)):
+        depth += (masked[i] == "(") - (masked[i] == ")")
+        if not depth:
+            return i
+    return len(masked)
+
+
+@lru_cache
+def stems(pattern: str) -> tuple[str, ...]:
+    """Plain words, one of which is in every text that the pattern matches; none if an alternative doesn't begin with one."""
+    masked = re.sub(r"\\.|\[[^\]]*\]", lambda m: "\0" * len(m[0]), pattern)
+    out: set[str] = set()
+    at = 0
+    while at <= len(masked):
+        while masked.startswith(("(?<!", "(?!", "(?<="), at):
+            at = _closed(masked, at) + 1
+        if masked.startswith("(?:", at):
+            end = _closed(masked, at)
+            words = stems(pattern[at + 3 : end]) if masked[end + 1 : end + 2] not in ("?", "*", "{") else ()
+        else:
+            plain = re.match(r"[^\0()|?*+{}^$.]*", masked[at:])[0]
+            words = (plain[:-1] if masked[at + len(plain) : at + len(plain) + 1] in ("?", "*", "{") else plain,)
+        if not words or "" in words:
+            return ()
+        out.update(words)
+        depth = 0
+        while at < len(masked) and (depth or masked[at] != "|"):
+            depth += (masked[at] == "(") - (masked[at] == ")")
+            at += 1
+        at += 1
+    return tuple(sorted(x for x in out if not any(y != x and y in x for y in out)))
+
+
+def may_hold(c: Column, pattern: str) -> Column:
+    """False only where the pattern can't match: a search for plain words, which is cheaper than one for a pattern. c is evaluated once a word."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in stems(pattern)], F.lit(False)) if stems(pattern) else F.lit(True)
+
+
+def hit(c: Column, pattern: str) -> Column:
+    """As :func:`found`, for a c that costs nothing to read."""
+    return may_hold(c, pattern) & found(c, pattern)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is evaluated once, however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def found_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(U(pattern)), F.lit(group))
 
 
 def first_of(c: Column, pattern: str, group: int = 0) -> Column:
-    """The first hit's group without outer white space, else null."""
-    return F.when(found(c, pattern), strip(F.regexp_extract(c, U(pattern), group)))
+    """The first hit's group, which isn't empty, without outer white space, else null."""
+    return F.nullif(strip(F.regexp_extract(c, U(pattern), group)), F.lit(""))
 
 
 def parts(c: Column, pattern: str) -> Column:
@@ -76,11 +131,9 @@ def strip_boilerplate(c: Column) -> Column:
     return strip(sub(body, P.TRAILER, "", "i"))
 
 
-def strip_injections(c: Column) -> tuple[Column, Column]:
-    """The text without instructions, and how many paragraphs or sentences went."""
+def strip_injections(c: Column) -> Column:
+    """text: without instructions, gone: how many paragraphs or sentences went."""
     hit = lambda x: found(x, P.INJECTION, "i")
-    paragraphs = F.split(c, "\n\n", -1)
-    clean = F.filter(paragraphs, lambda p: ~hit(p))
 
     def line(x: Column) -> Column:
         sentences = F.filter(parts(x, r"(?<=[.!?。])\s+"), lambda s: F.length(strip(s)) > 0)
@@ -94,12 +147,13 @@ def strip_injections(c: Column) -> tuple[Column, Column]:
 
         return F.aggregate(sentences, start, step, lambda a: F.struct(F.array_join(a["kept"], " ").alias("text"), a["gone"].alias("gone")))
 
-    by_line = F.transform(lines(c), line)
-    kept = F.filter(F.transform(by_line, lambda x: x["text"]), lambda t: F.length(strip(t)) > 3)
-    single = F.when(hit(c), F.array_join(kept, "\n")).otherwise(c)
-    gone = F.when(hit(c), F.aggregate(by_line, F.lit(0), lambda a, x: a + x["gone"])).otherwise(0)
-    several = F.size(paragraphs) > 1
-    return F.when(several, F.array_join(clean, "\n\n")).otherwise(single), F.when(several, F.size(paragraphs) - F.size(clean)).otherwise(gone)
+    # Each variant is one struct, so that the text and the count come from one evaluation; most texts hold no instruction and end at the first search.
+    left = lambda xs: F.array_join(F.filter(F.transform(xs, lambda x: x["text"]), lambda t: F.length(strip(t)) > 3), "\n")
+    whole = bound(F.transform(lines(c), line), lambda xs: F.struct(left(xs).alias("text"), F.aggregate(xs, F.lit(0), lambda a, x: a + x["gone"]).alias("gone")))
+    clean = lambda ps: bound(F.filter(ps, lambda p: ~hit(p)), lambda own: F.struct(F.array_join(own, "\n\n").alias("text"), (F.size(ps) - F.size(own)).alias("gone")))
+    kept = bound(F.split(c, "\n\n", -1), clean)
+    several = F.contains(c, F.lit("\n\n"))
+    return F.when(~hit(c), F.struct(c.alias("text"), F.lit(0).alias("gone"))).when(several, kept).otherwise(whole)
 
 
 def mask_contacts(c: Column) -> tuple[Column, Column]:
@@ -187,12 +241,23 @@ def jaccard(x: Column, y: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def sentence_overlap(a: Column, b: Column) -> Column:
+    """The share of b's sentences that a has too, but for blanks and what stands after their last word; 0 without sentences."""
+    keys = lambda c: F.transform(sentences(c), lambda s: norm_key(sub(s, P.TRAILING)))
+    return bound(keys(a), lambda pool: bound(keys(b), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.filter(own, lambda s: F.array_contains(pool, s))) / F.size(own))))
+
+
 def preprocessed(df: DataFrame, column: str) -> DataFrame:
     """df with pre_text and what was done to it, all stages in order. Each stage is a column, so that it is computed once."""
-    df = df.withColumn("_n", normalize(F.col(column))).withColumn("pre_resegmented", is_flat(F.col("_n"))).withColumn("_n", strip_boilerplate(resegment(F.col("_n"))))
-    text, gone = strip_injections(F.col("_n"))
-    df = df.withColumns({"_t": text, "pre_injections": gone})
-    masked, contacts = mask_contacts(F.col("_t"))
-    df = df.withColumns({"_m": masked, "pre_masked": contacts})
+    count = lambda c, p: F.regexp_count(c, F.lit(U(p)))
+    df = df.withColumn("_n", normalize(F.col(column))).withColumn("pre_resegmented", is_flat(F.col("_n"))).withColumn("_r", resegment(F.col("_n"))).withColumn("_b", strip_boilerplate(F.col("_r")))
+    df = df.withColumn("_s", strip_injections(F.col("_b"))).withColumn("_t", F.col("_s.text")).withColumn("pre_injections", F.col("_s.gone"))
+    mail = F.contains("_t", F.lit("@"))
+    df = df.withColumn("_e", F.when(mail, sub(F.col("_t"), P.EMAIL, P.MASK_EMAIL)).otherwise(F.col("_t")))
+    df = df.withColumn("_p", sub(F.col("_e"), P.MOBILE, P.MASK_PHONE))
+    df = df.withColumn("_m", sub(F.col("_p"), P.PHONE, P.MASK_PHONE))
+    # A replacement that changed nothing had nothing to count.
+    masked = F.when(mail, count(F.col("_t"), P.EMAIL)).otherwise(0) + F.when(F.col("_p") != F.col("_e"), count(F.col("_e"), P.MOBILE)).otherwise(0) + F.when(F.col("_m") != F.col("_p"), count(F.col("_p"), P.PHONE)).otherwise(0)
+    df = df.withColumn("pre_masked", masked)
     cut, over = truncate(F.col("_m"))
-    return df.withColumns({"pre_text": cut, "pre_truncated": over}).drop("_n", "_t", "_m")
+    return df.withColumns({"pre_text": cut, "pre_truncated": over}).drop("_n", "_r", "_b", "_s", "_t", "_e", "_p", "_m")

@@ -82,9 +82,9 @@ def _(t):
     return t.postings().select("k", E.plain_type(F.concat_ws("\n", "title", "body")).alias("kind"))
 
 
-@query("ext_pref_baseline", "select k, case when k % 2 = 0 then '경력자 우대합니다|우대 자격 소지자' else '' end as items from p", view=True)
+@query("ext_pref_baseline", r"select k, array_to_string(list_filter(list_transform(string_split_regex(body || chr(10) || story || ' 우대 · ' || word || ' 우대', '[\n·•\-]'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: not (x like '%:' or x like '%：' or regexp_matches(x, '^우대\s?사?항?[:：]?$')) and contains(x, '우대') and length(x) between 5 and 100)[1:10], '|') as items from p", view=True)
 def _(t):
-    text = F.when(F.col("k") % 2 == 0, "우대사항:\n경력자 우대합니다 · 우대 자격 소지자\n우대").otherwise("우대 사항\n해당 없음")
+    text = F.concat("body", F.lit("\n"), "story", F.lit(" 우대 · "), "word", F.lit(" 우대"))
     return t.postings().select("k", F.array_join(E.plain_preferences(text), "|").alias("items"))
 
 
