@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 
@@ -25,6 +29,21 @@ def replayed(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFra
     return hit.withColumn("answer", F.when(F.col("answer").isNull(), F.raise_error(F.lit("not in the replay cache")).cast("string")).otherwise(F.col("answer")))
 
 
+def cached(requests: DataFrame, cache: DataFrame, mode: str, answer: Callable[[DataFrame], DataFrame], key: str = "key") -> DataFrame:
+    """requests with an answer. off: all are asked; record: those that the cache lacks, one of each key; replay: none, and one that the cache lacks is an error.
+
+    answer makes (key, answer) of requests; the cache is (key, answer), one row a key.
+    """
+    if mode == "replay":
+        return replayed(requests, cache, key)
+    if mode == "off":
+        return requests.join(answer(requests.dropDuplicates([key])).select(key, "answer"), key, "left")
+    if mode != "record":
+        raise ValueError(f"not a cache mode: {mode}")
+    known = cache.select(key, "answer").unionByName(answer(misses(requests, cache, key)).select(key, "answer"))
+    return requests.join(known, key, "left")
+
+
 def _price(model: Column, i: int) -> Column:
     table = F.create_map(*[F.lit(x) for m, p in P.PRICES.items() for x in (m, p[i])])
     return F.coalesce(F.try_element_at(table, model), F.lit(0.0))
@@ -51,21 +70,46 @@ def monthly(days: DataFrame) -> DataFrame:
 def admitted(calls: DataFrame, by: list[str], order: list[str], estimated: str, actual: str, day_limit: float, month_limit: float) -> DataFrame:
     """Calls in order, one budget a group: rejected where day or month would go over, and then not spent.
 
-    Each decision needs all before it, so a group's calls are folded in order in one row; groups are accounts, and hold one account's calls.
+    Each decision needs all before it, so a group's calls pass through one task in order; of them only the sums so far are held.
     """
-    call = F.struct(*order, F.to_date(order[0]).alias("day"), F.col(estimated).cast("double").alias("estimate"), F.col(actual).cast("double").alias("cost"))
-    start = F.struct(F.lit(None).cast("date").alias("day"), F.lit(0.0).alias("spent_day"), F.lit(None).cast("string").alias("month"), F.lit(0.0).alias("spent_month"), F.lit(0).cast("long").alias("admitted"), F.lit(0).cast("long").alias("rejected"), F.lit(0.0).alias("spent"))
-
-    def step(a: Column, x: Column) -> Column:
-        month = F.date_format(x["day"], "yyyy-MM")
-        day_so_far = F.when(a["day"].eqNullSafe(x["day"]), a["spent_day"]).otherwise(0.0)
-        month_so_far = F.when(a["month"].eqNullSafe(month), a["spent_month"]).otherwise(0.0)
-        ok = (day_so_far + x["estimate"] <= day_limit) & (month_so_far + x["estimate"] <= month_limit)
-        more = F.when(ok, F.greatest(x["cost"], F.lit(0.0))).otherwise(0.0)
-        return F.struct(x["day"].alias("day"), (day_so_far + more).alias("spent_day"), month.alias("month"), (month_so_far + more).alias("spent_month"), (a["admitted"] + ok.cast("long")).alias("admitted"), (a["rejected"] + (~ok).cast("long")).alias("rejected"), (a["spent"] + more).alias("spent"))
-
-    folded = calls.groupBy(*by).agg(F.array_sort(F.collect_list(call)).alias("calls")).select(*by, F.aggregate("calls", start, step).alias("s"))
-    return folded.select(*by, "s.admitted", "s.rejected", "s.month", "s.spent_month", F.round("s.spent", 4).alias("spent"))
+    keys = StructType([calls.schema[c] for c in by])
+    own = calls.withColumn("_day", F.to_date(order[0])).select(*by, *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)], F.unix_date("_day").alias("_day"), F.date_format("_day", "yyyy-MM").alias("_month"), F.col(estimated).cast("double").alias("_estimate"), F.col(actual).cast("double").alias("_cost"))
+    sorted_rows = own.repartition(*by).sortWithinPartitions(*by, *[f"_order{i}" for i in range(len(order))])
+    names = [*by, "admitted", "rejected", "month", "spent_month", "spent"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, state, out = None, None, []
+
+        def rows() -> pa.RecordBatch:
+            kinds = [*[first.schema.field(c).type for c in by], pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+        first = None
+        for b in batches:
+            first = b if first is None else first
+            who = list(zip(*[b.column(c).to_pylist() for c in by]))
+            for key, day, month, estimate, cost in zip(who, *[b.column(c).to_pylist() for c in ("_day", "_month", "_estimate", "_cost")]):
+                if key != account:
+                    if state is not None:
+                        out.append((*account, *state[:2], *state[3:]))
+                    account, state = key, [0, 0, None, None, 0.0, 0.0]
+                    spent_day = 0.0
+                spent_day = spent_day if state[2] == day and day is not None else 0.0
+                spent_month = state[4] if state[3] == month and month is not None else 0.0
+                ok = estimate is not None and spent_day + estimate <= day_limit and spent_month + estimate <= month_limit
+                more = max(cost or 0.0, 0.0) if ok else 0.0
+                spent_day += more
+                state = [state[0] + ok, state[1] + (not ok), day, month, spent_month + more, state[5] + more]
+            if len(out) > 10_000:
+                yield rows()
+                out = []
+        if state is not None:
+            out.append((*account, *state[:2], *state[3:]))
+        if out:
+            yield rows()
+
+    kinds = StructType([*keys.fields, *[StructField(n, k) for n, k in zip(names[len(by) :], (LongType(), LongType(), StringType(), DoubleType(), DoubleType()))]])
+    return sorted_rows.mapInArrow(run, kinds).withColumn("spent", F.round("spent", 4))
 
 
 def may_retry(elapsed_s: Column, last_ms: Column, cached: Column) -> Column:

@@ -10,36 +10,109 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import grade as R
 from .registry import query
+from .text_queries import SENTENCES
 
 
-def _cases(*rows):
-    """A column that takes a row's case by its key, and the same in SQL."""
-    col = F.lit(rows[-1])
-    for i, r in reversed(list(enumerate(rows[:-1]))):
-        col = F.when(F.col("k") % len(rows) == i, F.lit(r)).otherwise(col)
-    return col
+# ---- The same checks as SQL for DuckDB, over columns ----
+
+KEY = r"lower(regexp_replace({0}, '[\s,]', '', 'g'))"
+JOINED = "array_to_string(list_sort(list_distinct({0})), '|')"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]::varchar[]"
+
+
+def _facts(c: str, hay: str) -> str:
+    """Numbers, Latin words and spellings of c that the key of the sources lacks."""
+    digits = r"regexp_replace(t, '\D', '', 'g')"
+    numbers = rf"list_filter(list_transform(regexp_extract_all({c}, '{P.NUMBER}'), lambda t: trim(t)), lambda t: length({digits}) >= 2 and not contains({hay}, {KEY.format('t')}) and not contains({hay}, {digits}))"
+    other = " ".join(f"when '{v}' then '{k}'" for k, vs in P.SPELLINGS.items() for v in vs)
+    latin = rf"list_filter(regexp_extract_all({c}, '{P.LATIN}'), lambda t: not contains({hay}, {KEY.format('t')}) and not coalesce(contains({hay}, case {KEY.format('t')} {other} end), false))"
+    return f"list_concat(list_concat({numbers}, {latin}), {_spelled(c, hay)})"
+
+
+def _spelled(c: str, hay: str) -> str:
+    out = []
+    for k, vs in P.SPELLINGS.items():
+        left = c
+        for longer in (*P.NOT_SPELLINGS, *sorted((x for x in P.SPELLINGS if k in x and x != k), key=len, reverse=True)):
+            left = f"replace({left}, '{longer}', ' ')"
+        known = " or ".join(f"contains({hay}, '{x}')" for x in (k, *vs))
+        out.append(f"case when contains({left}, '{k}') and not ({known}) then '{k}' end")
+    return f"list_filter([{', '.join(out)}]::varchar[], lambda x: x is not null)"
+
+
+def _final(ch: str) -> str:
+    return f"(case when unicode({ch}) between 44032 and 55203 then (unicode({ch}) - 44032) % 28 else -1 end)"
+
+
+def _past(c: str) -> str:
+    return f"(len(list_filter(regexp_extract_all({c}, '[가-힣]'), lambda ch: ch not in ('있', '겠') and {_final('ch')} = 20)) > 0)"
+
+
+def _future(c: str) -> str:
+    open_ = rf"regexp_replace({c}, '수\s?있었', 'X', 'g')"
+    return rf"(regexp_matches({c}, '{P.FUTURE}') or len(list_filter(regexp_extract_all({open_}, '([가-힣])\s?(?:것|수\s?있)', 1), lambda ch: {_final('ch')} = 8)) > 0)"
+
+
+def _reactions(c: str, hay: str) -> str:
+    free = [f"case when not regexp_matches({hay}, '{ground.replace('(?!형)', '')}') then {_list(words)} else [] end" for words, ground in P.OUTCOMES.values()]
+    clauses = f"list_filter(flatten(list_transform({SENTENCES.format(c)}, lambda z: string_split(z, ','))), lambda y: {_past('y')} and not {_future('y')})"
+    return f"flatten(list_transform({clauses}, lambda y: list_filter(list_concat({free[0]}, {free[1]}), lambda w: contains(y, w))))"
+
+
+def _claimed(c: str, hay: str) -> str:
+    own = [f"case when len(list_filter({_list(ws)}, lambda w: contains({hay}, w))) > 0 then []::varchar[] else list_filter({_list(ws)}, lambda w: contains({c}, w)) end" for ws in P.CLAIMS.values()]
+    return f"list_concat(list_concat(list_concat({own[0]}, {own[1]}), {own[2]}), {_reactions(c, hay)})"
+
+
+def _cited(c: str, g: str) -> str:
+    compact, ground = f"lower(replace({c}, ' ', ''))", f"lower(replace({g}, ' ', ''))"
+    words = f"list_transform(regexp_extract_all({g}, '{P.TOKEN}'), lambda w: lower(w))"
+    return f"((length({ground}) > 0 and contains({compact}, {ground})) or (len({words}) > 0 and len(list_filter({words}, lambda w: contains({compact}, w))) * 2 >= len({words})))"
 
 
-def sql_cases(*rows: str) -> str:
-    whens = " ".join(f"when {i} then {r}" for i, r in enumerate(rows))
-    return f"case k % {len(rows)} {whens} end"
+def _any_cited(c: str) -> str:
+    return f"((ground <> '' and {_cited(c, 'ground')}) or (ground2 <> '' and {_cited(c, 'ground2')}))"
 
 
-@query("guard_extract_json", "select k, " + sql_cases("'{\"a\":' || k || ',\"b\":[1,2]}'", "null", "'{\"x\":{\"y\":\"z\"}}'", "null") + " as json from p", view=True)
+def _kept(c: str) -> str:
+    kept = f"list_filter({SENTENCES.format(c)}, lambda z: {_any_cited('z')})"
+    return f"case when len({kept}) > 0 then array_to_string({kept}[1:{P.MAX_SENTENCES}], ' ') end"
+
+
+def _dropped(c: str, flags: str) -> str:
+    """Without the sentences that hold a flag; stories are one line."""
+    ends = rf"string_split(regexp_replace({c}, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1))"
+    clean = rf"list_filter({ends}, lambda z: trim(z) <> '' and len(list_filter({flags}, lambda f: f <> '' and contains({KEY.format('z')}, {KEY.format('f')}))) = 0)"
+    return f"case when len({flags}) = 0 then {c} else trim(array_to_string({clean}, ' ')) end"
+
+
+def _unlawful(c: str) -> str:
+    return "list_filter([" + ", ".join(f"case when regexp_matches({c}, '{p}') then '{name}' end" for name, p in P.DISCRIMINATORY.items()) + "]::varchar[], lambda x: x is not null)"
+
+
+SCRUBBED = r"regexp_replace({0}, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.]+|\b0\d{{1,2}}[-.)]\s?\d{{3,4}}[-.]\d{{4}}\b|\b01[016-9][-.]?\d{{3,4}}[-.]?\d{{4}}\b|\b\d{{6}}[-\s]?[1-4]\d{{6}}\b', '[삭제]', 'g')"
+
+
+def _grounds():
+    return F.array("ground", "ground2")
+
+
+@query("guard_extract_json", "select conv_id, turn, case when role = 'system' then null else '{\"n\":' || turn || ',\"said\":' || to_json(coalesce(text, ''))::varchar || '}' end as json from conversations")
 def _(t):
-    c = F.when(F.col("k") % 4 == 0, F.concat(F.lit('Here: ```json\n{"b": [1, 2], "a": '), F.col("k").cast("string"), F.lit("}\n``` done"))).when(F.col("k") % 4 == 1, F.lit("nothing { broken }")).when(F.col("k") % 4 == 2, F.lit('so {"x": {"y": "z"}} it is')).otherwise(F.lit("[1, 2]"))
-    return t.postings().select("k", G.extract_json(c).alias("json"))
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("said"), F.col("turn").alias("n")))
+    answer = F.when(F.col("role") == "system", F.regexp_replace("text", "[{}]", "")).when(F.col("turn") % 2 == 0, F.concat(F.lit("Here: ```json\n"), said, F.lit("\n``` done"))).otherwise(F.concat(F.lit("so "), said, F.lit(" it is")))
+    return t("conversations").select("conv_id", "turn", G.extract_json(answer).alias("json"))
 
 
-@query("guard_fact_check", "select k, " + sql_cases("''", "'30%|Redis'", "'도커'") + " as flags from p", view=True)
+@query("guard_fact_check", f"select k, {JOINED.format(_facts('story', 'hay'))} as flags from (select *, {KEY.format('source')} as hay from p)", view=True)
 def _(t):
-    answer = _cases("타입스크립트와 kafka로 12명을 도왔습니다.", "매출 30% 증가, Redis 사용, 1명.", "도커와 TypeScript 그리고 스프링클러를 썼다.")
-    sources = T.texts("TypeScript 개발 12 명", "카프카 운영")
-    return t.postings().select("k", F.array_join(G.fact_check(answer, sources), "|").alias("flags"))
+    return t.postings().select("k", F.array_join(F.array_sort(G.fact_check(F.col("story"), F.array("source"))), "|").alias("flags"))
 
 
 TURN = "(select a.conv_id, a.turn, a.text as a, b.text as b from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant')"
-KEY = r"lower(regexp_replace({0}, '[\s,]', '', 'g'))"
 
 
 @query("guard_fact_check_turns", rf"""with x as (select conv_id, turn, {KEY.format('b')} as hay, regexp_extract_all(a, '[A-Za-z][A-Za-z0-9+#./-]{{1,}}') as words from {TURN}),
@@ -52,40 +125,40 @@ def _(t):
     return both.select("conv_id", "turn", F.size(latin).cast("long").alias("n"))
 
 
-@query("guard_spelling", "select k, " + sql_cases("''", "'자바스크립트|도커'", "'자바'", "'스프링부트'") + " as found from p", view=True)
+@query("guard_spelling", f"select k, {JOINED.format(_spelled('story', 'hay'))} as found from (select *, {KEY.format('source')} as hay from p)", view=True)
 def _(t):
-    answer = _cases("리액트를 썼다", "도커와 자바스크립트", "스프링클러와 자바", "스프링부트와 리액트")
-    return t.postings().select("k", F.array_join(G.spellings(answer, F.lit("react와스프링클러")), "|").alias("found"))
+    p = t.postings().withColumn("hay", G.haystack(F.array("source")))
+    return p.select("k", F.array_join(F.array_sort(G.spellings(F.col("story"), F.col("hay"))), "|").alias("found"))
 
 
-@query("guard_claims", "select k, " + sql_cases("'자격증|취득'", "''", "'최우수|입사'", "'만족도'", "''") + " as claims from p", view=True)
+@query("guard_claims", f"select k, {JOINED.format(_claimed('story', 'source'))} as claims from p", view=True)
 def _(t):
-    answer = _cases("자격증을 취득하였다.", "자기 계발을 하겠습니다.", "최우수 평가로 입사하겠습니다.", "고객의 만족도가 높아졌습니다.", "만족도를 높이겠습니다.")
-    return t.postings().select("k", F.array_join(G.claims(answer, T.texts("동아리 활동", "개발 경험")), "|").alias("claims"))
+    return t.postings().select("k", F.array_join(F.array_sort(G.claims(F.col("story"), F.array("source"))), "|").alias("claims"))
 
 
-@query("guard_outcomes", "select k, " + sql_cases("'좋은 반응'", "''", "'인정을 받'", "''", "''") + " as found from p", view=True)
+@query("guard_outcomes", f"select k, {JOINED.format(_reactions('story', 'source'))} as found from p", view=True)
 def _(t):
-    answer = _cases("발표는 어려웠지만, 좋은 반응을 얻었다.", "칭찬을 받을 것이다.", "팀에서 인정을 받았습니다.", "호평을 받고 싶습니다.", "그냥 했습니다.")
-    return t.postings().select("k", F.array_join(G.outcomes(answer, F.lit("개발 경험")), "|").alias("found"))
+    return t.postings().select("k", F.array_join(F.array_sort(F.array_distinct(G.outcomes(F.col("story"), F.col("source")))), "|").alias("found"))
 
 
-@query("hangul_past", "select k, " + sql_cases("true", "false", "false", "true") + " as past, " + sql_cases("false", "true", "true", "false") + " as future, " + sql_cases("20", "-1", "8", "4") + "::int as final from p", view=True)
+@query("hangul_past", f"select k, {_past('story')} as past, {_future('story')} as future, {_final('right(source, 1)')}::int as final from p", view=True)
 def _(t):
-    clause, ch = _cases("일을 했다", "하겠다", "할 수 있다", "할 수 있었다"), _cases("했", "a", "할", "안")
-    return t.postings().select("k", G.past(clause).alias("past"), G.future(clause).alias("future"), G.final_of(ch).alias("final"))
+    return t.postings().select("k", G.past(F.col("story")).alias("past"), G.future(F.col("story")).alias("future"), G.final_of(F.right("source", F.lit(1))).alias("final"))
+
+
+def _ratio(tone: str) -> str:
+    own = SENTENCES.format("story")
+    return f"len(list_filter({own}, lambda z: regexp_matches(regexp_replace(z, '" + P.TRAILING.replace("'", "''") + f"', ''), '{P.ENDINGS[tone]}'))) / nullif(len({own}), 0)"
 
 
-@query("guard_ending_ratio", "select k, " + sql_cases("1.0", "0.5", "0.0", "null") + "::double as formal, " + sql_cases("0.0", "0.5", "1.0", "null") + "::double as casual from p", view=True)
+@query("guard_ending_ratio", f"select k, {_ratio('formal')} as formal, {_ratio('casual')} as casual from p", view=True)
 def _(t):
-    answer = _cases("했습니다. 갑니다!", "했습니다. 좋아요.", "했어요~ 그렇죠?", " ")
-    return t.postings().select("k", G.ending_ratio(answer, "formal").alias("formal"), G.ending_ratio(answer, "casual").alias("casual"))
+    return t.postings().select("k", G.ending_ratio(F.col("story"), "formal").alias("formal"), G.ending_ratio(F.col("story"), "casual").alias("casual"))
 
 
-@query("guard_discriminatory", "select k, " + sql_cases("'신체조건'", "''", "'혼인|가족'", "'성별지정'", "'출신지역'") + " as hits from p", view=True)
+@query("guard_discriminatory", f"select k, array_to_string({_unlawful('story')}, '|') as hits from p", view=True)
 def _(t):
-    c = _cases("용모 단정한 분", "금신장학재단 기본적인 성별 제한없음", "미혼자, 부모님의 직업 기재", "여성 우대", "본적지 기재")
-    return t.postings().select("k", F.array_join(E.discriminatory(c), "|").alias("hits"))
+    return t.postings().select("k", F.array_join(E.discriminatory(F.col("story")), "|").alias("hits"))
 
 
 @query("guard_blocklist", "select doc_id, array_to_string(list_filter(['trash', 'idiot', 'clown'], lambda w: contains(text, w)), '|') as hits from documents where text is not null")
@@ -99,41 +172,57 @@ def _(t):
     return d.select("doc_id", F.size(G.forbidden_hits(F.col("key"), T.texts("of The", "und, die", ""))).cast("long").alias("n"))
 
 
-@query("guard_cites", "select k, " + sql_cases("true", "true", "false", "false") + " as cites from p", view=True)
+@query("guard_cites", f"select k, {_cited('story', 'ground')} as cites from p", view=True)
 def _(t):
-    return t.postings().select("k", G.cites(_cases("RDB 경력 1년이 있다", "Java/Kotlin 백엔드 경험", "무관한 말", "x"), _cases("RDB 1년 이상", "백엔드", "데이터 분석", "")).alias("cites"))
+    return t.postings().select("k", G.cites(F.col("story"), F.col("ground")).alias("cites"))
 
 
-@query("guard_keep_cited", "select k, " + sql_cases("'백엔드를 했다.'", "null", "'백엔드 하나. 백엔드 둘!'") + " as text from p", view=True)
+@query("guard_keep_cited", f"select k, {_kept('story')} as text from p", view=True)
 def _(t):
-    c = _cases("백엔드를 했다. 빈말이다.", "빈말이다.", "백엔드 하나. 백엔드 둘! 백엔드 셋.")
-    return t.postings().select("k", G.keep_cited(c, T.texts("", "백엔드")).alias("text"))
+    return t.postings().select("k", G.keep_cited(F.col("story"), _grounds()).alias("text"))
 
 
-@query("guard_overclaim", "select k, " + sql_cases("'설계'", "null", "'c+'") + " as ground from p", view=True)
-def _(t):
-    return t.postings().select("k", G.overclaimed(_cases("설계 능력이 있다", "설계를 했다", "c+ 관련 역량"), T.texts("", "백엔드 개발", " 설계 ", "c+")).alias("ground"))
+def _overclaimed(c: str) -> str:
+    """The first short ground that stands before an ability; both grounds are plain words but for their plus sign."""
+    one = lambda g: rf"case when {g} <> '' and length({g}) <= {P.SHORT_GROUND} and regexp_matches({c}, replace({g}, '+', '\+') || '\s*(?:관련\s*)?{P.CAPABILITY}') then {g} end"
+    return f"coalesce({one('ground')}, {one('ground2')})"
 
 
-@query("eval_grounded", "select k, " + sql_cases("true", "false", "null") + " as grounded from p", view=True)
+@query("guard_overclaim", f"select k, {_overclaimed('story')} as ground from p", view=True)
 def _(t):
-    return t.postings().select("k", G.grounded(_cases("백엔드를 했다. 백엔드 둘.", "백엔드를 했다. 빈말.", ""), T.texts("백엔드")).alias("grounded"))
+    return t.postings().select("k", G.overclaimed(F.col("story"), _grounds()).alias("ground"))
 
 
-@query("guard_comments", "select k, " + sql_cases("'백엔드 경험이 맞습니다.'", "null", "'백엔드 [삭제] 입니다.'", "'백엔드를 했습니다.'") + " as text from p", view=True)
+@query("eval_grounded", f"select k, len(list_filter({SENTENCES.format('story')}, lambda z: not {_any_cited('z')})) = 0 as grounded from p", view=True)
 def _(t):
-    c = _cases("백엔드 경험이 맞습니다. 빈말입니다.", "설계 능력이 있습니다.", "백엔드 a@b.co 입니다.", "백엔드를 했습니다. 백엔드 매출 77% 증가.")
-    grounds = T.texts("백엔드", "설계", "a@b.co")
-    return G.guard_comment(t.postings().select("k", c.alias("text")), "text", grounds).select("k", "text")
-
-
-@query("guard_draft_tail", "select k, " + sql_cases("'경험을 바탕으로 성실히 일하며 팀과 함께 결과를 내고 맡은 일을 끝까지 해내겠습니다.'", "'안전한 초안입니다.'", "'좋은 글입니다. [삭제]'") + " as text, " + sql_cases("'0|2'", "'1'", "''") + " as used from p", view=True)
+    return t.postings().select("k", G.grounded(F.col("story"), _grounds()).alias("grounded"))
+
+
+@query(
+    "guard_comments",
+    f"""with c as (select k, ground, ground2, {_kept('story')} as cited, ground || ' ' || ground2 as source from p),
+f as (select *, list_concat({_facts('cited', 'hay')}, {_claimed('cited', 'source')}) as flags from (select *, {KEY.format('source')} as hay from c where cited is not null)),
+l as (select k, ground, ground2, {_dropped('cited', 'flags')} as clean from f),
+r as (select *, {_kept('clean')} as text from l)
+select p.k, case when len({_unlawful('r.text')}) = 0 and len(list_filter({_list(P.BLOCKED)}, lambda w: contains(r.text, w))) = 0 and {_overclaimed('r.text').replace('ground2', 'r.ground2').replace('ground <', 'r.ground <').replace('(ground', '(r.ground').replace('then ground ', 'then r.ground ')} is null then {SCRUBBED.format('r.text')} end as text from p left join r on p.k = r.k""",
+    view=True,
+)
+def _(t):
+    return G.guard_comment(t.postings().select("k", F.col("story").alias("text"), "ground", "ground2"), "text", _grounds()).select("k", "text")
+
+
+@query(
+    "guard_draft_tail",
+    f"""with f as (select k, story, title, list_concat({_facts('story', 'hay')}, {_claimed('story', 'source')}) as flags from (select *, {KEY.format('source')} as hay from p)),
+l as (select *, {_dropped('story', 'flags')} as rest from f),
+m as (select k, case when len(flags) = 0 then story when length(rest) >= greatest(40.0, length(story) / 3) then rest else title end as kept from l),
+n as (select k, kept, list_filter({_list(P.BLOCKED)}, lambda w: contains(kept, w)) as bad from m),
+o as (select k, {_dropped('kept', 'bad')} as clean from n)
+select k, {SCRUBBED.format('clean')} as text from o""",
+    view=True,
+)
 def _(t):
-    c = _cases("경험을 바탕으로 성실히 일하며 팀과 함께 결과를 내고 맡은 일을 끝까지 해내겠습니다. 매출 45% 증가.", "매출 45% 증가.", "좋은 글입니다. 010-1234-5678")
-    raw = F.when(F.col("k") % 3 == 0, F.array(F.lit(2), F.lit(0), F.lit(2), F.lit(9))).when(F.col("k") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    used = F.array_sort(F.array_intersect(raw, F.array(F.lit(0), F.lit(1), F.lit(2))))
-    p = G.draft_tail(t.postings().select("k", c.alias("text")), "text", T.texts("경험 010-1234-5678"), F.lit("안전한 초안입니다."))
-    return p.select("k", "text", F.array_join(F.transform(used, lambda x: x.cast("string")), "|").alias("used"))
+    return G.draft_tail(t.postings().select("k", F.col("story").alias("text"), "source", "title"), "text", F.array("source"), F.col("title")).select("k", "text")
 
 
 @query("guard_safe_draft", "select k, title || '에 지원해요. ' || word || ' 경험이 있어요. 이 경험을 바탕으로 맡은 일을 성실히 해내고 싶어요.' as casual, 'Q' || k || '에 대해 말씀드리겠습니다. " + P.DRAFT["formal"][4] + "' as formal from p", view=True)
@@ -161,14 +250,16 @@ def _(t):
     return t.postings().select("k", R.length(F.col("k") % 1000, F.when(F.col("k") % 3 == 0, 0).otherwise(500)).alias("grade"))
 
 
-@query("sim_fact_jaccard", "select k, " + sql_cases("0.5", "1.0", "0.0") + "::double as score from p", view=True)
-def _(t):
-    def facts(c):
-        numbers = F.filter(F.transform(T.found_all(c, P.NUMBER), T.strip), lambda x: F.length(T.sub(x, r"\D")) >= 2)
-        return F.array_distinct(F.transform(F.concat(numbers, T.found_all(c, P.LATIN)), T.norm_key))
+def _tokens(c: str) -> str:
+    numbers = rf"list_filter(list_transform(regexp_extract_all({c}, '{P.NUMBER}'), lambda x: trim(x)), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 2)"
+    return f"list_distinct(list_transform(list_concat({numbers}, regexp_extract_all({c}, '{P.LATIN}')), lambda x: {KEY.format('x')}))"
 
-    a, b = _cases("Java 12명", "없다", "Redis"), _cases("java 1명", "그렇다", "30%")
-    return t.postings().select("k", T.jaccard(facts(a), facts(b)).alias("score"))
+
+@query("sim_fact_jaccard", f"select conv_id, turn, case when len(x) + len(y) = 0 then 1.0 else round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) end::double as score from (select conv_id, turn, {_tokens('a')} as x, {_tokens('b')} as y from {TURN})")
+def _(t):
+    c = t("conversations").select("conv_id", "turn", "role", G.fact_tokens(F.col("text")).alias("x"))
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("x").alias("y"))
+    return c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("x"), F.col("y")), 9).alias("score"))
 
 
 @query("tok_distinctive", "select k, lower(word) as first, lower(seg) as second, true as reflected from p", view=True)
@@ -189,12 +280,11 @@ def _(t):
     return t.postings().select("k", F.array_join(turned, "|").alias("cards"))
 
 
-@query("eval_expectation", "select k, " + sql_cases("''", "'strength'", "'weakness|noCall'") + " as misses from p", view=True)
+@query("eval_expectation", "select k, array_to_string(list_filter([case when asks > 0 and (asks > 1) <> contains(story, '백엔드') then 'strength' end, case when prefs > 0 and (prefs > 1) <> contains(story, '설계') then 'weakness' end, case when k % 3 = 2 and grade > 1 then 'noCall' end], lambda x: x is not null), '|') as misses from p", view=True)
 def _(t):
-    text = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("k") % 3 + 1).cast("int"))
-    want = {"strength": F.lit(True), "weakness": F.when(F.col("k") % 3 == 2, F.lit(False))}
-    got = {"strength": text("있다", None, "있다"), "weakness": text(None, "있다", "있다")}
-    return t.postings().select("k", F.array_join(R.expectation(want, got, F.col("k") % 3 == 2, F.lit(10)), "|").alias("misses"))
+    part = lambda w: F.regexp_extract("story", w, 0)
+    want = {"strength": F.when(F.col("asks") > 0, F.col("asks") > 1), "weakness": F.when(F.col("prefs") > 0, F.col("prefs") > 1)}
+    return t.postings().select("k", F.array_join(R.expectation(want, {"strength": part("백엔드"), "weakness": part("설계")}, F.col("k") % 3 == 2, F.col("grade") - 1), "|").alias("misses"))
 
 
 @query("expand_tones", "select k, tone, attempt from p cross join (values ('formal', 1), ('confident', 1), ('casual', 1), ('casual', 2)) v(tone, attempt)", view=True)
@@ -212,5 +302,5 @@ def _(t):
 
 @query("stub_marker", "select k, case when k % 3 = 0 then 'empty' when k % 3 = 1 then 'rate_limited' end as marker from p", view=True)
 def _(t):
-    title = F.concat("title", _cases(" [stub:empty]", " [stub:rate_limited]", ""))
+    title = F.concat("title", F.when(F.col("k") % 3 == 0, " [stub:empty]").when(F.col("k") % 3 == 1, " [stub:rate_limited]").otherwise(""))
     return t.postings().select("k", F.nullif(F.regexp_extract(title, r"\[stub:(\w+)\]", 1), F.lit("")).alias("marker"))

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None, view: bool = False) -> Callable:
     def put(f: Callable[[Tables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            ORACLES[name] = f"with {CTE} {sql}" if view else sql
+            ORACLES[name] = (f"with {CTE}, {sql[5:]}" if sql.startswith("with ") else f"with {CTE} {sql}") if view else sql
         return f
 
     return put

@@ -153,8 +153,7 @@ def _(t):
 @query("boot_auc_ci")
 def _(t):
     rows = scores(t).select("profile", F.col("vec_id").cast("int").alias("item"), F.col("other").alias("a"), F.col("score").alias("b"), F.col("relevant").alias("label"))
-    n = t("embeddings").count()
-    return R.bootstrap_auc_difference(rows, R.bootstrap_draws(t.spark, n, 20, 0))
+    return R.bootstrap_auc_difference(rows)
 
 
 @query("sim_score_pipeline")
@@ -167,15 +166,22 @@ def _(t):
 GRAMS = r"list_distinct(list_transform(generate_series(1, greatest(length(x) - 2, 0)), lambda i: substring(x, i::int, 3)))"
 
 
-@query("selfjoin_jaccard", rf"""with g as (select conv_id, turn, unnest({GRAMS}) as g, len({GRAMS}) as n from (select conv_id, turn, regexp_replace(text, '\s', '', 'g') as x from conversations)),
-s as (select a.conv_id, a.turn as a, b.turn as b, count(*) as c, any_value(a.n) as n, any_value(b.n) as m from g a join g b on a.conv_id = b.conv_id and a.g = b.g and a.turn < b.turn group by all)
-select conv_id, a, b, round(c / (n + m - c), 9) as score from s""")
+@query("agg_auc_pooled", f"{SCORES}, g as (select score, count(*) filter (relevant) as pos, count(*) filter (not relevant) as neg from s group by score), h as (select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from g) select sum(pos)::bigint as pos, sum(neg)::bigint as neg, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from h")
 def _(t):
-    bare = t("conversations").select("conv_id", "turn", T.sub(F.col("text"), r"\s").alias("x"))
-    grams = bare.select("conv_id", "turn", T.ngrams(F.col("x")).alias("g")).select("conv_id", "turn", F.explode("g").alias("g"), F.size("g").alias("n"))
-    a, b = grams.select("conv_id", "g", F.col("turn").alias("a"), F.col("n").alias("n")), grams.select("conv_id", "g", F.col("turn").alias("b"), F.col("n").alias("m"))
-    both = a.join(b, ["conv_id", "g"]).where("a < b").groupBy("conv_id", "a", "b", "n", "m").agg(F.count("*").alias("both"))
-    return both.select("conv_id", "a", "b", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9).alias("score"))
+    return R.pooled_auc(scores(t), "score", "relevant").select("pos", "neg", F.round("auc", 6).alias("auc"))
+
+
+@query("selfjoin_jaccard", rf"""with g as (select conv_id, turn, case when length(x) >= 3 then {GRAMS} else [] end as g from (select conv_id, turn, regexp_replace(coalesce(text, ''), '\s', '', 'g') as x from conversations)),
+s as (select a.conv_id, a.turn as a, b.turn as b, len(list_intersect(a.g, b.g)) as c, len(a.g) as n, len(b.g) as m from g a join g b on a.conv_id = b.conv_id and a.turn < b.turn)
+select conv_id, a, b, case when n + m = 0 then 1.0 else round(c / (n + m - c), 9) end::double as score from s""")
+def _(t):
+    """Every two turns of a conversation: rows hold their n-grams, so that only pairs of turns are joined, not pairs of n-grams."""
+    bare = t("conversations").select("conv_id", "turn", T.sub(F.coalesce("text", F.lit("")), r"\s").alias("x"))
+    grams = bare.select("conv_id", "turn", T.ngrams(F.col("x")).alias("g"))
+    a, b = grams.select("conv_id", F.col("turn").alias("a"), "g"), grams.select("conv_id", F.col("turn").alias("b"), F.col("g").alias("h"))
+    both = a.join(b, "conv_id").where("a < b").select("conv_id", "a", "b", F.size("g").alias("n"), F.size("h").alias("m"), F.size(F.array_intersect("g", "h")).alias("c"))
+    either = F.col("n") + F.col("m") - F.col("c")
+    return both.select("conv_id", "a", "b", F.when(either == 0, 1.0).otherwise(F.round(F.col("c") / either, 9)).alias("score"))
 
 
 # ---- Reports ----
@@ -187,21 +193,6 @@ def _(t):
     return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", (g >= 1).alias("relevant"), (g >= 2).alias("strict"))
 
 
-@query("agg_draft_report", """select lang, count(*) as n, avg(case when n_chars <= 1500 then 1 else 0 end) as length_compliance, avg(case when n_chars between 1000 and 1500 then 1 else 0 end) as fill_compliance,
-  round(avg(least(1.0, n_chars / 1500)), 9) as fill_ratio, count(*) filter (contains(text, '***')) as hedges from documents where text is not null group by lang""")
-def _(t):
-    d = t("documents").where("text is not null")
-    share = lambda c: F.avg(c.cast("int"))
-    n = F.col("n_chars")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), share(n <= 1500).alias("length_compliance"), share(n.between(1000, 1500)).alias("fill_compliance"), F.round(F.avg(F.least(F.lit(1.0), n / 1500)), 9).alias("fill_ratio"), F.count_if(F.contains("text", F.lit("***"))).alias("hedges"))
-
-
-@query("agg_comment_report", "select role, count(*) as n, avg(case when length(text) < 100 then 1 else 0 end) as silent_rate, sum(len(string_split(text, chr(10))))::bigint as lines, max(len(string_split(text, chr(10)))) as most_lines from conversations where text is not null group by role")
-def _(t):
-    rows = F.size(F.split("text", "\n", -1)).cast("long")
-    return t("conversations").where("text is not null").groupBy("role").agg(F.count("*").alias("n"), F.avg((F.length("text") < 100).cast("int")).alias("silent_rate"), F.sum(rows).alias("lines"), F.max(rows).alias("most_lines"))
-
-
 MODEL = "case event_id % 4 when 0 then 'HCX-DASH-002' when 1 then 'HCX-005' when 2 then 'HCX-007' else 'other' end"
 #: In hundred-thousandths, so that halves go to the even neighbour exactly.
 UNITS = "((100 + event_id % 997) * (case event_id % 4 when 0 then 25 when 3 then 0 else 125 end) + (event_id % 311) * (case event_id % 4 when 0 then 100 when 3 then 0 else 500 end))"
