@@ -37,7 +37,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
-    x = x.astype(U, copy=True)
+    x = np.array(x, U)
     x ^= x >> U(30)
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
@@ -74,6 +74,48 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+_MASKS = np.array([0xFFFFFFFFFFFFFFFF, *[(1 << (8 * k)) - 1 for k in range(1, 8)]], U)
+#: 8-byte parts of ranges that are read at once.
+_PARTS = 1 << 20
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range. Every 8 bytes are mixed with their place in the range before they are summed, so that no
+    structure of the bytes makes different ranges agree more often than chance."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = (ends - starts).astype(np.int64)
+    count = (size + 7) >> 3
+    sums = np.zeros(len(size), U)
+    upto, at = np.cumsum(count), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PARTS, "right")))
+        n = count[at:to]
+        if not n.any():
+            at = to
+            continue
+        of = np.repeat(np.arange(at, to), n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        part = eights[starts[of] + 8 * place]
+        last = place == count[of] - 1
+        part[last] &= _MASKS[size[of[last]] & 7]
+        full = np.flatnonzero(n)
+        sums[at + full] = np.add.reduceat(mixed(part + mixed(place.astype(U) + U(1 + (seed << 32)))), (np.cumsum(n) - n)[full])
+        at = to
+    return mixed(sums + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def agree(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the bytes from each a and from each b on are equal, over each size."""
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PARTS, "right")))
+        if (data[expanded(a[at:to], size[at:to])] != data[expanded(b[at:to], size[at:to])]).any():
+            return False
+        at = to
+    return True
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+, none across texts, and the n + 1 word offsets of the texts."""
     inside = ~((data == 32) | ((data - np.uint8(9)) < np.uint8(5)))
