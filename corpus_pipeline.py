@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over documents: each works on all that the one before kept."""
+"""A corpus pipeline of five stages over documents: each works on all that the one before kept.
+
+A stage's scratch tables are removed when the next stage begins, since by then its result has been written and is read again. So one pipeline a folder of tables runs
+at a time in a session.
+"""
 
 from __future__ import annotations
 
@@ -8,50 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bulletin.llm import bpe, mixing, neardup, substrings, toxicity
-from bulletin.llm.common import documents, written
+from bulletin.llm.common import documents, forgotten, scope, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key of each row, as a written table: doc_id may repeat or be null."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
-
-
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose _row is not among gone, without that column."""
-    return rows.join(gone.select("_row"), "_row", "left_anti").drop("_row")
+def begin(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """What is written from now on is this stage's; what the one before it has left goes."""
+    names = ["", *[n for n, _ in STAGES]]
+    scope(spark, f"{sf_dir} {name}", after=f"{sf_dir} {names[names.index(name) - 1]}")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the nearest labelled examples don't call toxic."""
-    rows = keyed(docs)
-    scores = toxicity.score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_row",))
-    return without(rows, scores.where("predicted = 1"))
+    begin(spark, sf_dir, "toxicity")
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the first one with the smallest doc_id, null last."""
-    rows = keyed(docs)
-    order = rows.select("_row", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "_row")
-    order = written(order.select("_row", F.monotonically_increasing_id().alias("_key")), "stage-order")
-    texts = written(rows.select("_row", "text").join(order, "_row").select(F.col("_key").alias("doc_id"), "text"), "stage-texts")
-    gone = neardup.near_duplicates(texts, width=5, part=80).where("not kept").select(F.col("doc_id").alias("_key"))
-    return without(rows, order.join(gone, "_key"))
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): one with the smallest doc_id, null last. Rows without words are in no group."""
+    begin(spark, sf_dir, "near_dedup")
+    return neardup.one_of_each(docs, width=5, part=80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 50 bytes that also start in one with a smaller doc_id."""
+    begin(spark, sf_dir, "suffix_array_dedup")
     return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them: up to three times."""
+    begin(spark, sf_dir, "mixing")
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, for every row."""
+    begin(spark, sf_dir, "byte_bpe")
     return bpe.digests(docs)
 
 
@@ -63,12 +61,17 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", tokenise),
 ]
 
-#: SQL can't express the suffix, sketch and neighbour stages; tests hold each against brute force.
+#: SQL can't express the suffix, sketch and neighbour stages; tests hold each stage's rows against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        scope(spark, "")  # what a stage returns isn't its scratch
+        docs = written(out, f"stage-{name}")
+        if before is not None:
+            forgotten(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
