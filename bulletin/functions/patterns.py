@@ -28,10 +28,21 @@ INJECTION = (
     r"|system\s?prompt|ignore\s+(?:all\s+|the\s+)?(?:previous|above|prior)\s+instructions"
     r"|(?:이|본)\s?문단(?:은|을)\s?출력하지|(?:으로|로)\s?(?:만\s?)?출력(?:한다|하라|할\s?것)"
 )
-LABEL_HEADS = "모집 지원 접수 신청 제출 선발 활동 우대 자격 혜택 문의 시상 심사 전형 채용 근무 급여 지역 학력 경력 마감 시작 결과 발표 기간 대상 인원 방법 내용 서류 일정 절차 요건 조건 사항 개요 주제 주최 주관 후원".split()
+LABEL_HEADS = (
+    "모집", "지원", "접수", "신청", "제출", "선발", "활동", "우대", "자격", "혜택", "문의", "시상", "심사", "전형", "채용", "근무", "급여", "지역", "학력", "경력", "마감", "시작", "결과", "발표",
+    "기간", "대상", "인원", "방법", "내용", "서류", "일정", "절차", "요건", "조건", "사항", "개요", "주제", "주최", "주관", "후원",
+)
 SECTION_HEADS = r"우대\s?(?:사항|조건|요건)|자격\s?요건|(?:지원|응시|신청|참가)\s?자격|전형\s?(?:절차|방법|일정)|제출\s?서류|접수\s?방법|(?:유의|기타)\s?사항|문의처"
 BULLET_SIGNS = "▶■□●○◆◇▪※☞➤►✅✔📌📅📆🎬🙌💬📥"
 LIST_SYLLABLES = "가나다라마바사아자차카타파하"
+_NO_HEAD = "".join(f"(?<!{h})" for h in LABEL_HEADS)
+#: Where a flat text gets its line breaks back: before signs, list numbers, labels and section heads.
+SEGMENT_BEFORE = (
+    rf"\s*(?=[{BULLET_SIGNS}]|[①-⑳]|\[[^\]]{{1,12}}\])"
+    rf"|\s+(?=(?:\d{{1,2}}|[{LIST_SYLLABLES}]|[ⅠⅡⅢⅣⅤ]|[IVX]{{1,3}})[.)]\s|[-•*·ㅇ◦]\s|문항\s?\d{{1,2}}\s)"
+    rf"|{_NO_HEAD}\s+(?=(?:{'|'.join(LABEL_HEADS)})[가-힣]{{0,4}}\s?[:：])"
+    rf"|{_NO_HEAD}\s+(?=(?:{SECTION_HEADS})(?![가-힣]))"
+)
 
 # Deadlines.
 DEADLINE_LABELS = (
@@ -75,7 +86,9 @@ MAJOR_ANY = r"전공|계열|학과|학부"
 MAJOR_FREE = r"전공[^\n]{0,24}?(?:무관|불문|상관\s?없|제한\s?없)"
 MAJOR_LABEL = r"전공\s?(?:분야|계열)?\s*[:：]?\s*([가-힣A-Za-z]{2,12}(?:\s?[/,·]\s?[가-힣A-Za-z]{2,12}){1,7})"
 MAJOR_ASKED = r"[가-힣A-Za-z]{2,12}(?:\s?[/,·]\s?[가-힣A-Za-z]{2,12}){0,7}(?:\s?관련)?\s?(?:학과(?![장생])|학부(?!생)|전공|계열)"
-MAJOR_STOP = "자격요건 수행업무 지원자격 응시자격 모집 제한 무관 기타 서류 전형 경력 제외 졸업예정자 소지자 이상 포함".split()
+MAJOR_STOP = (
+    "자격요건", "수행업무", "지원자격", "응시자격", "모집", "제한", "무관", "기타", "서류", "전형", "경력", "제외", "졸업예정자", "소지자", "이상", "포함",
+)
 MAJOR_GENERIC = r"^(?:유관|관련|해당|동일|관계)\s?(?:학과|학부|전공|계열)$"
 PREFERENCE_HEADING = r"^[^\n]{0,6}(?:우대\s?(?:사항|조건|요건)|가점|우대)[^\n]{0,10}$"
 PREFERENCE_ITEM = rf"^\s*(?:[-•*▶·]|\d+[.)]|[{LIST_SYLLABLES}][.)])\s*(.{{4,80}})\s*$"
@@ -93,7 +106,10 @@ ACADEMIC = r"수강\s?신청|수강\s?바구니|이수\s?의무|이수\s?면제|
 
 # The simple heuristic that the rules are compared with.
 WORD = r"[A-Za-z가-힣][A-Za-z0-9가-힣+#.]{1,19}"
-STOPWORDS = "안내 공고 모집 지원 신청 제출 관련 대상 기간 문의 첨부 이상 이하 및 또는 경우 해당 가능 위한 통해 있는 있습니다 합니다 바랍니다 주시기 학년 학점 우대 마감 접수 채용 장학금 공모전 대외활동 내용 예정 진행 운영".split()
+STOPWORDS = (
+    "안내", "공고", "모집", "지원", "신청", "제출", "관련", "대상", "기간", "문의", "첨부", "이상", "이하", "및", "또는", "경우", "해당", "가능", "위한", "통해", "있는", "있습니다", "합니다",
+    "바랍니다", "주시기", "학년", "학점", "우대", "마감", "접수", "채용", "장학금", "공모전", "대외활동", "내용", "예정", "진행", "운영",
+)
 PLAIN_DATE = r"(20\d{2})[.\-/년]\s?(\d{1,2})[.\-/월]\s?(\d{1,2})"
 PLAIN_SHORT_DATE = r"[~까지]\s?(\d{1,2})\s?[/월]\s?(\d{1,2})"
 PLAIN_QUESTION = r"^[ \t]*(\d)[.)]\s*(.{5,120}?)\s*(?:\((\d{2,5})자[^)]*\))?\s*$"
@@ -155,15 +171,3 @@ DEADLINE_S, CACHED_S, FIRST_S, SPARE_S = 16.0, 0.2, 3.0, 1.0
 MAX_LINES, TONE_TARGET, REGEN_SIMILAR = 3, 0.8, 0.5
 
 # ---- End of the fixed values. ----
-
-
-def segment_before() -> str:
-    """Where a flat text gets its line breaks back."""
-    after_head = "".join(f"(?<!{h})" for h in LABEL_HEADS)
-    heads = "|".join(LABEL_HEADS)
-    return (
-        rf"\s*(?=[{BULLET_SIGNS}]|[①-⑳]|\[[^\]]{{1,12}}\])"
-        rf"|\s+(?=(?:\d{{1,2}}|[{LIST_SYLLABLES}]|[ⅠⅡⅢⅣⅤ]|[IVX]{{1,3}})[.)]\s|[-•*·ㅇ◦]\s|문항\s?\d{{1,2}}\s)"
-        rf"|{after_head}\s+(?=(?:{heads})[가-힣]{{0,4}}\s?[:：])"
-        rf"|{after_head}\s+(?=(?:{SECTION_HEADS})(?![가-힣]))"
-    )

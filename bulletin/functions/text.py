@@ -123,7 +123,7 @@ def is_flat(c: Column) -> Column:
 
 
 def resegment(c: Column) -> Column:
-    return F.when(is_flat(c), sub(c, P.segment_before(), "\n")).otherwise(c)
+    return F.when(is_flat(c), sub(c, P.SEGMENT_BEFORE, "\n")).otherwise(c)
 
 
 def strip_boilerplate(c: Column) -> Column:

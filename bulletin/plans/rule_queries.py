@@ -116,14 +116,25 @@ def _(t):
     return t("documents").select("doc_id", F.posexplode(E.plain_keywords(F.col("source"), F.col("text"))).alias("at", "word")).select("doc_id", "word", (F.col("at") + 1).alias("rank"))
 
 
-@query("pipe_baseline")
+@query(
+    "pipe_baseline",
+    f"""with w as (select k, unnest({WORDS.format("title")}) as w, 5 as n, unnest(generate_series(1, len({WORDS.format("title")}))) as pos from p
+  union all select k, unnest({WORDS.format("body")}), 1, 1000 + unnest(generate_series(1, len({WORDS.format("body")}))) from p),
+s as (select k, w, sum(n)::int as points, min(pos) as pos from w group by k, w having sum(n) >= 2),
+r as (select *, row_number() over (partition by k order by points desc, pos) as place from s),
+t as (select k, string_agg(w, '|' order by place) as keywords, count(*) >= 3 as ok from r where place <= 10 group by k)
+select k, case when ok and style <> 5 and year(d + 400) >= 2000 then d + 400 end::date as due_date, case when ok then kind end as kind, case when ok then asks else 0 end::int as questions, grade || '학년 이상' as year,
+  case when k % 2 = 0 then '평점 3.' || k % 9 || ' 이상' end as gpa, case when k % 3 = 0 then '컴퓨터공학과' end as major, case when ok then keywords else '' end as keywords, case when not ok then 'NO_KEYWORDS' end as fail_reason
+from (select p.*, coalesce(t.ok, false) as ok, t.keywords from p left join t using (k))""",
+    view=True,
+)
 def _(t):
     p = t.postings().withColumn("text", F.concat_ws("\n", "title", "body")).withColumn("keywords", E.plain_keywords(F.col("title"), F.col("body")))
     ok = F.size("keywords") >= P.MIN_KEYWORDS
     return p.select(
         "k", F.when(ok, E.plain_due(F.col("text"), F.col("d"))).alias("due_date"), F.when(ok, E.plain_type(F.col("text"))).alias("kind"), F.when(ok, F.size(E.plain_questions(F.col("body")))).otherwise(0).alias("questions"),
         T.first_of(F.col("text"), P.PLAIN_YEAR).alias("year"), T.first_of(F.col("text"), P.PLAIN_GPA).alias("gpa"), T.first_of(F.col("text"), P.PLAIN_MAJOR).alias("major"),
-        F.when(ok, F.col("keywords")).otherwise(T.texts()).alias("keywords"), F.when(~ok, "NO_KEYWORDS").alias("fail_reason"),
+        F.array_join(F.when(ok, F.col("keywords")).otherwise(T.texts()), "|").alias("keywords"), F.when(~ok, "NO_KEYWORDS").alias("fail_reason"),
     )
 
 
