@@ -19,8 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def calibrate(similarity: Column) -> Column:
+    """0 to 100; null stays null, which least and greatest would pass over."""
     ratio = (similarity - P.COSINE_ZERO) / F.lit(P.COSINE_FULL - P.COSINE_ZERO)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(ratio * 100 + 0.5))).cast("int")
+    return F.when(similarity.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.floor(ratio * 100 + 0.5))).cast("int"))
 
 
 def keyword_score(keywords: Column, interests: Column) -> Column:
@@ -85,7 +86,7 @@ def bootstrap_auc_difference(base: DataFrame, samples: int = 2000, seed: int = 0
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
         items, of = np.unique(data["item"].to_numpy(), return_inverse=True)
-        label = data["label"].to_numpy(zero_copy_only=False).astype(bool) if hasattr(data["label"], "combine_chunks") else np.array(data["label"])
+        label = np.array(data["label"].to_pylist(), bool)
         at = range(key[1].as_py() * block, min(samples, (key[1].as_py() + 1) * block))
         times = np.stack([drawn(r, len(items), seed)[of] for r in at], axis=1)
         diff = _weighted_auc(data["b"].to_numpy(), label, times) - _weighted_auc(data["a"].to_numpy(), label, times)
@@ -96,7 +97,7 @@ def bootstrap_auc_difference(base: DataFrame, samples: int = 2000, seed: int = 0
     mean = each.groupBy("replicate").agg(F.avg("diff").alias("diff"))
     # One row a replicate: as many as were asked for.
     ordered = mean.agg(F.array_sort(F.collect_list("diff")).alias("d"), F.count("*").alias("n"))
-    return ordered.select("n", F.try_element_at("d", F.floor(F.col("n") * 0.025).cast("int") + 1).alias("low"), F.try_element_at("d", F.ceil(F.col("n") * 0.975).cast("int")).alias("high"))
+    return ordered.select("n", F.try_element_at("d", F.floor(F.col("n") * 0.025).cast("int") + 1).alias("low"), F.try_element_at("d", F.greatest(F.lit(1), F.ceil(F.col("n") * 0.975).cast("int"))).alias("high"))
 
 
 def pooled_auc(rows: DataFrame, score: str, label: str) -> DataFrame:

@@ -27,7 +27,7 @@ def front_matter(text: Column) -> tuple[Column, Column]:
 
 def read_postings(spark: SparkSession, path: str, skip_example: bool = True) -> DataFrame:
     """Announcement files below a folder, without read-me files, empty ones and (unless asked for) the example, in the order of their paths."""
-    raw = spark.read.option("wholetext", True).text(f"{path}/*.md").withColumn("path", F.input_file_name())
+    raw = spark.read.text(f"{path}/*.md", wholetext=True).withColumn("path", F.input_file_name())
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     kept = raw.withColumn("stem", stem).where((F.length("value") > 0) & (F.lower("stem") != "readme"))
     if skip_example:

@@ -1,12 +1,15 @@
 import datetime
-import random
 import re
 
 from pyspark.sql import functions as F
 
 from bulletin.functions import extract as E
 from bulletin.functions import guard as G
+from bulletin.functions import patterns as P
 from bulletin.functions import text as T
+from bulletin.sources.postings import postings
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def one(spark, make, *values):
@@ -36,18 +39,30 @@ def test_limits_and_questions(spark):
     assert [(q.order, q.max_chars) for q in found] == [(1, 500)]
 
 
-def test_normalize_like_re(spark):
-    rng = random.Random(3)
-    texts = ["".join(rng.choice(" \t\n\r 　ab가\x01\x0b.") for _ in range(40)) for _ in range(200)]
+def test_normalize(spark):
+    pairs = [
+        ("a\r\nb\rc", "a\nb\nc"), ("x \t\u00a0 y", "x y"), ("one   \ntwo", "one\ntwo"), ("a\n\n\n\n\nb", "a\n\nb"), ("a\n\nb", "a\n\nb"), ("\x00a\x07b\x7f", "ab"),
+        ("\u3000가\u3000나 ", "가 나"), ("", ""), (" \n \n ", ""), ("\n\nfirst\n \n \nlast\t\n", "first\n\nlast"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", T.normalize(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [want for _, want in pairs]
 
-    def plain(t):
-        t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t).replace("\r\n", "\n").replace("\r", "\n")
-        t = "\n".join(x.rstrip() for x in re.sub("[ \t 　]+", " ", t).split("\n"))
-        return re.sub(r"\n{3,}", "\n\n", t).strip()
 
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.n for r in df.select("i", T.normalize(F.col("t")).alias("n")).collect()}
-    assert all(got[i] == plain(t) for i, t in enumerate(texts))
+def test_resegment_like_another_engine(spark):
+    p = postings(spark, FOLDER).select("k", F.regexp_replace("body", r"\s+", " ").alias("t"))
+    rows = p.select("k", "t", T.resegment(F.col("t")).alias("x"), T.is_flat(F.col("t")).alias("flat")).collect()
+    assert rows and all(r.flat and r.x == re.sub(P.SEGMENT_BEFORE, "\n", r.t) for r in rows)
+    assert not one(spark, T.is_flat, "a\nb\nc")
+
+
+def test_stems_are_in_every_hit(spark):
+    assert T.stems("ab?c|de") == ("a", "de") and T.stems(r"a|\d") == () and T.stems("(?:ab|cd)e|(?<!x)f") == ("ab", "cd", "f") and T.stems("(?:a)?b") == ()
+    texts = [r.body for r in postings(spark, FOLDER).select("body").limit(200).collect()] + [r.story for r in postings(spark, FOLDER).select("story").limit(200).collect()]
+    patterns = [P.QUAL_HEADING, P.MAJOR_ANY, P.MAJOR_FREE, P.APPLICABLE, P.ELIGIBILITY, *P.GPA, *P.TYPE_HINTS.values(), *P.DISCRIMINATORY.values()]
+    for p in patterns:
+        words = T.stems(p)
+        assert all(not re.search(p, t) or not words or any(w in t for w in words) for t in texts)
 
 
 def test_contacts_near_hangul(spark):
