@@ -63,7 +63,17 @@ def forgotten(*tables: DataFrame) -> None:
 
 
 def scope(spark: SparkSession, name: str, after: str = "") -> None:
-    """From now on, what is written belongs to `name`. What belonged to `after` is removed: its results have been written elsewhere."""
+    """From now on, what is written belongs to `name`, or to nothing. What belonged to `after` is removed: its results have been written elsewhere."""
     global _scope
     _scope = name
     dropped(spark, *_SCOPES.pop(after, []))
+
+
+#: Bytes of rows that go to a Python worker at once, where the session leaves it to Spark: both sides hold a few such batches.
+BATCH, _KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python in small batches, unless the session says how large they are to be."""
+    if spark.conf.get(_KEY).rstrip("b") == str(64 << 20):
+        spark.conf.set(_KEY, BATCH)

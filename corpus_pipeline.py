@@ -1,15 +1,11 @@
-"""A corpus pipeline of five stages over documents: each works on all that the one before kept.
-
-A stage's scratch tables are removed when the next stage begins, since by then its result has been written and is read again. So one pipeline a folder of tables runs
-at a time in a session.
-"""
+"""A corpus pipeline of five stages over documents: each works on all that the one before kept."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bulletin.llm import bpe, mixing, neardup, substrings, toxicity
 from bulletin.llm.common import documents, forgotten, scope, written
@@ -17,39 +13,28 @@ from bulletin.llm.common import documents, forgotten, scope, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def begin(spark: SparkSession, sf_dir: str, name: str) -> None:
-    """What is written from now on is this stage's; what the one before it has left goes."""
-    names = ["", *[n for n, _ in STAGES]]
-    scope(spark, f"{sf_dir} {name}", after=f"{sf_dir} {names[names.index(name) - 1]}")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the nearest labelled examples don't call toxic."""
-    begin(spark, sf_dir, "toxicity")
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): one with the smallest doc_id, null last. Rows without words are in no group."""
-    begin(spark, sf_dir, "near_dedup")
     return neardup.one_of_each(docs, width=5, part=80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 50 bytes that also start in one with a smaller doc_id."""
-    begin(spark, sf_dir, "suffix_array_dedup")
     return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them: up to three times."""
-    begin(spark, sf_dir, "mixing")
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, for every row."""
-    begin(spark, sf_dir, "byte_bpe")
     return bpe.digests(docs)
 
 
@@ -66,11 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written for itself goes when its result is written, and that when the next one's is."""
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
+        scope(spark, own := f"{name} {uuid.uuid4().hex}")
         out = stage(spark, docs, sf_dir)
-        scope(spark, "")  # what a stage returns isn't its scratch
+        scope(spark, "")
         docs = written(out, f"stage-{name}")
+        scope(spark, "", after=own)
         if before is not None:
             forgotten(before)
         before = docs
