@@ -8,19 +8,21 @@ from . import mixing
 def _tools() -> str:
     """Turns to calls and results by an as-of window, forest depth as the number of calls before in the conversation."""
     return r"""
-with t as (select distinct conv_id, turn, role, text, coalesce(role in ('user', 'system'), false) as is_call from conversations),
-b as (select *, max(case when is_call then turn end) over (partition by conv_id order by turn range between unbounded preceding and 1 preceding) as before,
-      count(case when is_call then 1 end) over (partition by conv_id order by turn range between unbounded preceding and 1 preceding) as depth from t),
+with t as (select conv_id, turn, role, text, coalesce(role in ('user', 'system') and conv_id is not null and turn is not null, false) as is_call from conversations),
+o as (select conv_id, turn, bool_or(is_call) as is_call, min(case when is_call then case when role = 'system' then 'instruct' else 'ask' end end) as name from t where conv_id is not null and turn is not null group by conv_id, turn),
+w as (select conv_id, turn, max(case when is_call then turn end) over p as before, count(case when is_call then 1 end) over p as depth from o window p as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)),
+b as (select t.*, w.before, w.depth from t left join w on t.conv_id = w.conv_id and t.turn = w.turn),
 c as (select *, conv_id || ':' || turn as call_id, case when role = 'system' then 'instruct' else 'ask' end as name, coalesce(text, '') as prompt,
-      case when role = 'system' then 300 else 400 end as most from b where is_call),
-e as (select *, list_filter([case when length(prompt) < 1 then 'prompt: below 1' when length(prompt) > most then 'prompt: above ' || most end,
+      case when role = 'system' then 300 else 400 end as most, '{"prompt":' || to_json(coalesce(text, ''))::varchar || ',"turn":' || turn || '}' as arguments from b where is_call),
+e as (select *, row_number() over (partition by call_id order by name, arguments) as n,
+      list_filter([case when length(prompt) < 1 then 'prompt: below 1' when length(prompt) > most then 'prompt: above ' || most end,
       case when turn < 0 then 'turn: below 0' when role = 'system' and turn > 0 then 'turn: above 0' end], lambda x: x is not null) as wrong from c),
-r as (select b.conv_id, b.turn, b.text, case when b.before is not null then b.conv_id || ':' || b.before end as call_id, b.depth,
-      (select case when o.role = 'system' then 'instruct' else 'ask' end from t o where o.is_call and o.conv_id = b.conv_id and o.turn = b.before) as name from b where not is_call)
-select conv_id, turn, 'call' as kind, call_id, name, 2 * depth as step,
-  case when exists (select 1 from r where r.call_id = e.call_id) then 'answered' else 'unanswered' end as status,
+r as (select b.conv_id, b.turn, b.text, case when b.before is not null then b.conv_id || ':' || b.before end as call_id, b.depth, o.name
+      from b left join o on o.conv_id = b.conv_id and o.turn = b.before where not b.is_call)
+select conv_id, turn, 'call' as kind, call_id, name, case when n = 1 then 2 * depth end as step,
+  case when n > 1 then 'duplicate' when exists (select 1 from r where r.call_id = e.call_id) then 'answered' else 'unanswered' end as status,
   len(wrong) = 0 as valid, array_to_string(wrong, '; ') as errors,
-  '{"arguments":{"prompt":' || to_json(prompt)::varchar || ',"turn":' || turn || '},"call_id":"' || call_id || '","name":"' || name || '","type":"call"}' as json from e
+  '{"arguments":' || arguments || ',"call_id":"' || call_id || '","name":"' || name || '","type":"call"}' as json from e
 union all
 select conv_id, turn, 'result', call_id, name, case when call_id is not null then 2 * (depth - 1) + 1 end, case when call_id is null then 'orphan' else 'linked' end,
   null, '', '{"call_id":' || coalesce('"' || call_id || '"', 'null') || ',"content":' || to_json(coalesce(text, ''))::varchar || ',"type":"result"}' from r
