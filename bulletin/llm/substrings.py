@@ -15,8 +15,8 @@ equal offsets, so windows only meet those with the same anchor. Consecutive wind
 A block sends each distinct run once, whatever the number of its documents that have it, so a passage in a third of all documents is one run a block. What
 grows with the documents at one anchor are runs that differ: those at the edges of a passage, at its two outermost anchors.
 
-Null text is empty. Texts shorter than LENGTH lose nothing. Rows with equal doc_id are one document: they keep what only they share. Rows with a null doc_id
-are compared with none and lose nothing. Extra columns are not read. An empty table gives no rows. Texts of any length are taken whole, in overlapping parts.
+Strings whose hashes agree are compared byte by byte. Null text is empty. Texts shorter than LENGTH lose nothing. Rows with equal doc_id are one document: they keep
+what only they share. Rows with a null doc_id are compared with none, take no part and lose nothing. Extra columns are not read. An empty table gives no rows. Texts of any length are taken whole, in overlapping parts.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import hot_join, shared_dir, written
+from .common import forgotten, hot_join, noted, shared_dir, small_batches, written
 from .suffixes import equal_windows
 
 LENGTH, SEED = 50, 16
@@ -104,13 +104,13 @@ class _Block:
 
     def __init__(self, table: pa.Table, notes: pa.Table):
         B.give_back()  # what the block before this one has held
-        order = np.lexsort((table["salt"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy()))
+        order = np.lexsort((table["salt"].to_numpy(), table["doc_id"].to_numpy()))
         self.table = table = table.take(pa.array(order))
-        self.ids, self.null = table["doc_id"].fill_null(-1).to_numpy(), table["doc_id"].is_null().to_numpy()
+        self.ids = table["doc_id"].to_numpy()
         self.data, self.offsets = B.laid_out(table["text"])
         copies = [x for row in notes["copies"].to_pylist() if row for x in row] if len(notes) else []
-        self.copy = np.isin(table["salt"].to_numpy(), np.array(copies, np.int64)) & ~self.null
-        out = np.flatnonzero(self.copy | self.null)
+        self.copy = np.isin(table["salt"].to_numpy(), np.array(copies, np.int64))
+        out = np.flatnonzero(self.copy)
         doc, first, last, at, h = runs(self.data, self.offsets)
         some = ~np.isin(doc, out)
         self.doc, self.first, self.last, self.at, self.hash = doc[some], first[some], last[some], at[some], h[some]
@@ -125,11 +125,16 @@ class _Block:
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """The first run of each distinct run, and each run's class."""
-        sums = B.prefix_sums(self.data)
-        whole = B.range_hashes(sums, self.first, self.last + LENGTH)
-        key = B.mixed(whole + self.hash * np.uint64(0x9E3779B97F4A7C55) + (self.at - self.first).astype(np.uint64))
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        return first, of
+        seed, size = 0, self.last + LENGTH - self.first
+        while True:  # with another hash, should different runs agree in one
+            whole = B.digests(self.data, self.first, self.last + LENGTH, seed)
+            key = B.mixed(whole + self.hash * np.uint64(0x9E3779B97F4A7C55) + (self.at - self.first).astype(np.uint64))
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            twin = np.flatnonzero(first[of] != np.arange(len(of)))
+            like = first[of[twin]]
+            if (size[twin] == size[like]).all() and B.agree(self.data, self.first[twin], self.first[like], size[twin]):
+                return first, of
+            seed += 1
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -145,7 +150,6 @@ def _cuts(parts_of: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _smallest(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, window start, smallest doc_id) of every window of the runs; at, first, last are positions in data, low the runs' smallest doc_id."""
-    sums = B.prefix_sums(data)
     found = []
     for a, b in RANGES:
         lo, hi = np.maximum(a, at - last), np.minimum(b, at - first)
@@ -153,11 +157,23 @@ def _smallest(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.nd
         if not len(of):
             continue
         lo, hi, mid = lo[of], hi[of], at[of]
-        core = B.mixed(B.range_hashes(sums, mid - a, mid - b + LENGTH) + anchor[of] * np.uint64(0x9E3779B97F4A7C55))
-        whole = B.mixed(B.range_hashes(sums, mid - hi, mid - lo + LENGTH) + core * np.uint64(0xC2B2AE3D27D4EB4F) + (64 * lo + hi).astype(np.uint64))
-        order = np.lexsort((whole, core))
-        new_core = np.append(True, core[order][1:] != core[order][:-1])
-        new_text = new_core | np.append(True, whole[order][1:] != whole[order][:-1])
+        seed = 0
+        while True:  # with another hash, should different cores or strings agree in one
+            core = B.mixed(B.digests(data, mid - a, mid - b + LENGTH, seed) + anchor[of] * np.uint64(0x9E3779B97F4A7C55))
+            whole = B.mixed(B.digests(data, mid - hi, mid - lo + LENGTH, seed) + core * np.uint64(0xC2B2AE3D27D4EB4F) + (64 * lo + hi).astype(np.uint64))
+            order = np.lexsort((whole, core))
+            new_core = np.append(True, core[order][1:] != core[order][:-1])
+            new_text = new_core | np.append(True, whole[order][1:] != whole[order][:-1])
+            x, y = order[1:], order[:-1]
+            same, twin = ~new_core[1:], ~new_text[1:]
+            sizes = hi - lo + LENGTH
+            if (
+                B.agree(data, (mid - a)[x[same]], (mid - a)[y[same]], np.full(int(same.sum()), a - b + LENGTH))
+                and (sizes[x[twin]] == sizes[y[twin]]).all()
+                and B.agree(data, (mid - hi)[x[twin]], (mid - hi)[y[twin]], sizes[x[twin]])
+            ):
+                break
+            seed += 1
         text_of = np.empty(len(of), np.int64)
         text_of[order] = np.cumsum(new_text) - 1
         one = order[new_text]
@@ -222,6 +238,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the other bytes) of every document, and the columns to carry."""
     spark = docs.sparkSession
+    small_batches(spark)
+    lone = docs.where("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("kept"), *[F.col(c).alias(f"with_{c}") for c in carry])
+    lone = lone.withColumn("kept", F.coalesce("kept", F.lit(b"")))
+    size_of = F.length("kept").cast("long")
+    lone = lone.select("doc_id", size_of.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept", *[f"with_{c}" for c in carry])
+    docs = docs.where("doc_id is not null")
     text = F.coalesce(F.col("text"), F.lit(""))
     salt = F.xxhash64("doc_id", F.sha2(text, 256)).alias("salt")  # a doc_id may have several texts
     facts = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("key"), salt), "sub-facts")
@@ -229,15 +251,19 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     size = totals["n"] or 0
     blocks, parts = max(32, -(-size // BLOCK)), max(32, -(-size // PART))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 * BLOCK)))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", F.sha2(text, 256)), F.lit(blocks)).cast("int").alias("block")
+    block_of = F.pmod("salt", F.lit(blocks)).cast("int").alias("block")
 
-    same = written(facts.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sub-same")
+    same = written(facts.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sub-same")
     copy = hot_join(facts.select("doc_id", "key", "salt"), same, "key", "copies", totals["rows"], "inner").where("doc_id > first")
-    copies = written(copy.groupBy(block).agg(F.collect_set("salt").alias("copies")), "sub-copies")  # of one block: bounded by its rows
+    copies = written(copy.groupBy(block_of).agg(F.collect_set("salt").alias("copies")), "sub-copies")  # of one block: bounded by its rows
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     copied = copies.select("block", none("int", "part"), *[none("binary", c) for c in ("bits", "run", "at", "n", "low")], "copies")
 
+    forgotten(facts, same)
     table = f"bulletin_{uuid.uuid4().hex}"
+    noted(f"table:{table}")
+    noted(f"{shared_dir(spark)}/{table}")
     dealt = docs.select(block, "doc_id", salt, text.alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry]).repartition(buckets, "block")
     dealt.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     texts = spark.table(table).groupBy("block")
@@ -357,11 +383,11 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         raw = b.data[~gone].tobytes()
         ends = np.append(0, np.cumsum(size - removed))
         kept = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        own = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.null), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())}
+        own = {"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())}
         return pa.table(own | {f"with_{c}": b.table[f"with_{c}"] for c in carry})
 
     kinds = "".join(f", `with_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return texts.cogroup(covers.unionByName(copied).groupBy("block")).applyInArrow(cover, RESULT + kinds)
+    return texts.cogroup(covers.unionByName(copied).groupBy("block")).applyInArrow(cover, RESULT + kinds).unionByName(lone)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
