@@ -24,8 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .bytesops import give_back
+from .common import small_batches
+
 #: Pieces that a worker remembers, and the longest that it remembers: a bound of its memory.
-KEEP_PIECES, KEEP_LENGTH = 200_000, 64
+KEEP_PIECES, KEEP_LENGTH = 60_000, 48
 
 
 class BytePairs:
@@ -51,6 +54,7 @@ class BytePairs:
         for i in sorted(self.bytes_of):
             self._split(i)
         self.sizes = {i: len(b) for i, b in self.bytes_of.items()}
+        self.most = max(self.sizes.values(), default=1)
         self.bytes_of_decimal = {str(i): b for i, b in self.bytes_of.items()}
         self.fits_memo: dict[int, bool] = {}
         self.starts: dict[str, int] = {}
@@ -95,13 +99,14 @@ class BytePairs:
         """Token ids of one match of the pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        s, size, longest, starts, sizes, shorter, memo = piece.decode("latin-1"), len(piece), self.longest, self.starts, self.sizes, self.shorter, self.fits_memo
+        s, size, most, longest, starts, sizes, shorter, memo = piece.decode("latin-1"), len(piece), self.most, self.longest, self.starts, self.sizes, self.shorter, self.fits_memo
         failed: set[int] = set()
         out: list[int] = []
         at, last = 0, -1
-        token = starts.get(s[: longest(s)])
+        rest = s[:most]
+        token = starts.get(rest[: (n := longest(rest))])
         if token is None:
-            token = self._first(s, longest(s))
+            token = self._first(rest, n)
         while True:
             end = at + sizes[token]
             ok = end not in failed
@@ -116,7 +121,7 @@ class BytePairs:
                 if end == size:
                     return out
                 at, last = end, token
-                rest = s[at:]
+                rest = s[at : at + most]  # no token is longer, so that a step costs the same wherever it is
                 token = starts.get(rest[: (n := longest(rest))])
                 if token is None:
                     token = self._first(rest, n)
@@ -164,6 +169,11 @@ class BytePairs:
         return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of_decimal.__getitem__, ids))).hexdigest()
 
 
+    def forget(self) -> None:
+        """Drops what has been remembered of pieces: a worker stands idle for long."""
+        self.memo, self.older, self.fits_memo = {}, {}, {}
+
+
 @lru_cache(maxsize=2)
 def load(path: str | None = None, pattern: str | None = None) -> BytePairs:
     """The vocabulary of a rank file; by default the public 50k byte-level one."""
@@ -178,6 +188,7 @@ def load(path: str | None = None, pattern: str | None = None) -> BytePairs:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with the column ``token_ids`` (array of int) of the column ``text``."""
+    small_batches(docs.sparkSession)
     keep = docs.drop("token_ids")
     schema = T.StructType([*keep.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
     at = keep.columns.index("text")
@@ -193,6 +204,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """tokens with the column ``decoded`` (binary) of the column ``token_ids``; null ids decode to no bytes."""
+    small_batches(tokens.sparkSession)
     keep = tokens.drop("decoded")
     schema = T.StructType([*keep.schema.fields, T.StructField("decoded", T.BinaryType())])
     at = keep.columns.index("token_ids")
@@ -215,5 +227,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
             out = [pairs.digest(t or "") for t in b.column(1).to_pylist()]
             n, ids, decoded = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        pairs.forget()
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
