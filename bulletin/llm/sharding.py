@@ -170,3 +170,9 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     own = facts.select(F.col("row").alias("doc_id"), "hub")  # doc_id may repeat or be null; the rows of the written table don't
     placed = propagate(own.select("doc_id"), own, shards).withColumnRenamed("doc_id", "row")
     return facts.join(placed, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_edges(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(hub, cut): of each hub of links (doc_id, hub), how many pairs of its members placed (doc_id, shard) has in different shards. Pairs are counted, not listed."""
+    n = links.join(placed.select("doc_id", "shard"), "doc_id").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    return n.groupBy("hub").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("cut"))
