@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.postings import spread
-from ..sources.scratch import dropped, forgotten, noted, scope, shared_dir, written
+from ..sources.scratch import dropped, forgotten, noted, scope, shared_dir, small_batches, written
 
-__all__ = ["documents", "dropped", "forgotten", "hot_join", "noted", "scope", "shared_dir", "written"]
+__all__ = ["documents", "dropped", "forgotten", "hot_join", "noted", "scope", "shared_dir", "small_batches", "written"]
 
 #: A key with more than one row in HOT_SHARE counts as hot, so there are at most HOT_SHARE hot keys: the bound of what is broadcast.
 HOT_SHARE = 4096

@@ -72,7 +72,7 @@ class Block:
     """Some whole texts as numbers: distinct tokens by rising hash, and each token's place among them."""
 
     def __init__(self, words: np.ndarray, endings: np.ndarray, at: np.ndarray, ends: np.ndarray, held: np.ndarray, ids: np.ndarray):
-        self.words, self.endings, self.at, self.held = words, endings, at.astype(np.int64), held.astype(bool)
+        self.words, self.endings, self.at, self.held = words, endings, at, held.astype(bool)
         self.offsets = np.append(0, ends).astype(np.int64)
         self.train = np.repeat(~self.held, np.diff(self.offsets))
         self.round = (B.mixed(ids.view(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
@@ -83,13 +83,19 @@ class Block:
     @staticmethod
     def packed(hashes: np.ndarray, endings: np.ndarray) -> tuple[bytes, bytes, bytes]:
         words, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        return words.tobytes(), endings[first].tobytes(), at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()
+        # Low halves, then what is above them: mostly zeros, which pack well.
+        high = (at >> 16).astype(np.uint8 if len(words) <= 1 << 24 else np.uint32).tobytes() if len(words) > 1 << 16 else b""
+        return words.tobytes(), endings[first].tobytes(), (at & 0xFFFF).astype(np.uint16).tobytes() + high
 
     @staticmethod
     def of(row: dict) -> Block:
         words = np.frombuffer(row["words"], np.uint64)
-        at = np.frombuffer(row["at"], np.uint16 if len(words) <= 1 << 16 else np.uint32)
-        return Block(words, np.frombuffer(row["endings"], np.int32), at, np.frombuffer(row["ends"], np.int64), np.frombuffer(row["held"], np.uint8), np.frombuffer(row["ids"], np.int64))
+        ends, raw = np.frombuffer(row["ends"], np.int64), row["at"]
+        n = int(ends[-1])
+        at = np.frombuffer(raw[: 2 * n], np.uint16).astype(np.int64)
+        if len(raw) > 2 * n:
+            at += np.frombuffer(raw[2 * n :], np.uint8 if len(raw) == 3 * n else np.uint32).astype(np.int64) << 16
+        return Block(words, np.frombuffer(row["endings"], np.int32), at, ends, np.frombuffer(row["held"], np.uint8), np.frombuffer(row["ids"], np.int64))
 
     def counts(self) -> np.ndarray:
         """Of each distinct token, how often it is in training texts."""

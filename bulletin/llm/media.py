@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 
 #: Samples in a row of the image; a payload is a positive multiple of it.
 ROW = 192
@@ -176,6 +176,7 @@ def load(placed: DataFrame, folder: str) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text's payload in a folder of its own and returns what reading it back gives (see :data:`READ`)."""
+    small_batches(docs.sparkSession)
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = f"file://{os.path.abspath(folder)}"

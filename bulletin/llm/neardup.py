@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import forgotten, written
+from .common import forgotten, small_batches, written
 from .components import components
 
 #: Registers of a sketch; rows of a band and bands; the base, the rate and the limit of the registers.
@@ -268,6 +268,7 @@ def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, width: int = 3, part: int = 85) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, label, component_id of every row. Rows of one component have one label, rows without words none."""
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs, width), "dup-sketches")
     node = F.xxhash64("n", "s1", "s2").alias("node")
     same = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "doc_id")).alias("at"), F.min("sketch").alias("sketch"))

@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, for every operator."""
 
+import hashlib
+import re
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,10 +39,35 @@ OPERATORS = {
 }
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+n_bytes = lambda t: len((t or "").encode())
+n_words = lambda t: len(WORD.findall(t or ""))
+
+
+def shingles(text):
+    w = WORD.findall((text or "").lower())
+    return len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) if len(w) > 2 else int(bool(w))
+
+
+#: By operator, what of a row its own text decides.
+VALUES = {
+    "sharding": (lambda r: (r["size"], r.text_crc32, r.law, r.grown_shard), lambda d, t: (n_bytes(t) + 16, zlib.crc32((t or "").encode()), "rows", None)),
+    "mixing": (lambda r: (r["size"], r.taken % max(1, r["size"])), lambda d, t: (n_words(t), 0)),
+    "substrings": (lambda r: (r.n_bytes, r.n_removed, r.n_spans), lambda d, t: (n_bytes(t), *((n_bytes(t), 1) if d == 5 else (0, 0)))),
+    "maxent": (lambda r: (r.held_out, r.n_tokens), lambda d, t: (zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2, n_words(t) + 1)),
+    "neardup": (lambda r: (r.n_shingles, r.component_id, r.kept), lambda d, t: (shingles(t), 4 if d == 5 else d, d != 5)),
+    "bpe": (lambda r: (r.decoded_sha256, r.n_tokens > 0), lambda d, t: (sha(t), bool(t))),
+    "media": (lambda r: (r.n_bytes, r.payload_bytes % 192, r.payload_bytes >= max(192, r.n_bytes)), lambda d, t: (n_bytes(t), 0, True)),
+    "toxicity": (lambda r: (r.held_out, 0 <= r.score <= 1, r.predicted == int(r.score >= 0.5)), lambda d, t: (zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0, True, True)),
+}
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_rows(spark, docs, name):
+    got, want = VALUES[name]
     out = OPERATORS[name](spark, docs).collect()
-    assert sorted(repr(r.doc_id) for r in out) == sorted(repr(r[0]) for r in ROWS)
+    assert sorted(repr((r.doc_id, got(r))) for r in out) == sorted(repr((d, want(d, t))) for d, t, _ in ROWS)
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -59,7 +88,7 @@ def test_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "alone"), (None, 0, "user", "x"), (3, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("status", F.lit("clash"))
     got = sorted((r.kind, r.status) for r in tools.link_dialogues(df).collect())
-    assert got == [("call", "answered"), ("result", "linked"), ("result", "orphan"), ("result", "orphan"), ("result", "orphan")]
+    assert got == [("call", "answered"), ("call", "duplicate"), ("result", "linked"), ("result", "orphan"), ("result", "orphan"), ("result", "orphan")]
     assert tools.link_dialogues(df.limit(0)).count() == 0
 
 
