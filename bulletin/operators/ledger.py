@@ -67,6 +67,19 @@ def monthly(days: DataFrame) -> DataFrame:
     return days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.round(F.sum("cost"), 4).alias("cost"))
 
 
+def budget_status(days: DataFrame, today: Column, day_limit: float, month_limit: float) -> DataFrame:
+    """One row: what was spent today and this month, to two places, and both limits. days is (day, cost)."""
+    same_month = F.date_format("day", "yyyy-MM") == F.date_format(today, "yyyy-MM")
+    spent = lambda hit: F.round(F.coalesce(F.sum(F.when(hit, F.col("cost"))), F.lit(0.0)), 2)
+    return days.agg(spent(F.col("day") == today).alias("today_krw"), spent(same_month).alias("month_krw"), F.lit(day_limit).alias("daily_limit_krw"), F.lit(month_limit).alias("monthly_limit_krw"))
+
+
+def recorded(items: DataFrame, record: DataFrame, key: str, value: str) -> DataFrame:
+    """items with the array that a record has for their key, an empty one where it has none. record is (key, value), one row a key."""
+    kind = record.schema[value].dataType
+    return items.join(record.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.array().cast(kind)))
+
+
 def admitted(calls: DataFrame, by: list[str], order: list[str], estimated: str, actual: str, day_limit: float, month_limit: float) -> DataFrame:
     """Calls in order, one budget a group: rejected where day or month would go over, and then not spent.
 

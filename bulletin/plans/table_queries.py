@@ -241,6 +241,19 @@ def _(t):
     return L.monthly(L.daily(t("events"), "ts", "value"))
 
 
+@query("budget_status", "with d as (select ts::date as day, round(sum(value), 4) as cost from events where value > 0 group by 1), m as (select max(day) as today from d) select round(sum(case when day = today then cost else 0 end), 2) as today_krw, round(sum(case when strftime(day, '%Y-%m') = strftime(today, '%Y-%m') then cost else 0 end), 2) as month_krw, 250.0::double as daily_limit_krw, 5000.0::double as monthly_limit_krw from d, m")
+def _(t):
+    days = L.daily(t("events"), "ts", "value")
+    today = days.agg(F.max("day").alias("d")).first()["d"]
+    return L.budget_status(days, F.lit(today), 250.0, 5000.0)
+
+
+@query("record_lookup", "select d.doc_id, coalesce(r.words, '') as words from (select distinct doc_id from documents) d left join (select doc_id, string_agg(text, '|' order by turn) as words from conversations c join (select distinct doc_id from documents) x on c.conv_id = x.doc_id where role = 'user' group by doc_id) r using (doc_id)")
+def _(t):
+    said = t("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("doc_id", F.transform("x", lambda s: s["text"]).alias("words"))
+    return L.recorded(t("documents").select("doc_id").distinct(), said, "doc_id", "words").select("doc_id", F.array_join("words", "|").alias("words"))
+
+
 @query(
     "budget_admission",
     """with c as (select user_id, list({'ts': ts, 'id': event_id, 'day': ts::date, 'month': strftime(ts, '%Y-%m'), 'e': value::double * 1.5, 'c': value::double} order by ts, event_id) as calls from events where value is not null group by user_id),

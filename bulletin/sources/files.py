@@ -45,6 +45,29 @@ def with_labels(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return posts.join(labels, "stem", "left")
 
 
+_DRAFT = "request struct<question:string,maxChars:int,postingTitle:string,keywords:array<string>,experienceSummaries:array<string>>, forbidden array<string>, emphasis boolean"
+_COMMENT = "request struct<matchedKeywords:array<string>,matchedPreferences:array<string>,missingQualifications:array<string>,topExperienceTitle:string>, forbidden array<string>, expect map<string,boolean>"
+
+
+def _read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(f"id string, note string, {schema}").option("multiLine", True).json(f"{path}/*.json").withColumn("path", F.input_file_name())
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"id": F.coalesce("id", F.regexp_extract("path", r"([^/]+)\.json$", 1)), "note": F.coalesce("note", F.lit("")), "forbidden": F.coalesce("forbidden", none)})
+
+
+def read_draft_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Draft cases below a folder, in the order of their paths: id (else the file's stem), note, request, forbidden (else none), emphasis (else not), path."""
+    return _read_cases(spark, path, _DRAFT).withColumn("emphasis", F.coalesce("emphasis", F.lit(False))).orderBy("path")
+
+
+def read_comment_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Comment cases below a folder, in the order of their paths: id, note, request, forbidden, expect (an absent key isn't graded), path, and grounds: all that a comment may cite."""
+    rows = _read_cases(spark, path, _COMMENT).withColumn("expect", F.coalesce("expect", F.create_map().cast("map<string,boolean>")))
+    many = [F.coalesce(F.col(f"request.{c}"), F.array().cast("array<string>")) for c in ("matchedKeywords", "matchedPreferences", "missingQualifications")]
+    title = F.col("request.topExperienceTitle")
+    return rows.withColumn("grounds", F.concat(*many, F.when(F.length(title) > 0, F.array(title)).otherwise(F.array().cast("array<string>")))).orderBy("path")
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Profiles one row each relevant posting: id, job_codes, tags, posting_id, grade."""
     schema = "profiles array<struct<id:string,jobCodes:array<string>,tags:array<string>,relevant:map<string,int>>>"

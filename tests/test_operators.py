@@ -126,6 +126,16 @@ def test_readers_and_sink(spark, tmp_path):
     assert [(r.stem, r.dueDate) for r in files.with_labels(posts, labels).orderBy("stem").collect()] == [("001-a", "2026-05-01"), ("002-b", None)]
     (tmp_path / "profiles.json").write_text(json.dumps({"profiles": [{"id": "u", "jobCodes": ["A"], "tags": ["t"], "relevant": {"p1": 2}}, {"id": "v", "jobCodes": [], "tags": [], "relevant": {}}]}))
     assert sorted((r.id, r.posting_id, r.grade) for r in files.read_profiles(spark, str(tmp_path / "profiles.json")).collect()) == [("u", "p1", 2), ("v", None, None)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.json").write_text(json.dumps({"id": "d1", "request": {"question": "q", "maxChars": 500, "keywords": ["k"]}, "forbidden": ["no"], "emphasis": True}))
+    (tmp_path / "d" / "b.json").write_text(json.dumps({"request": {"question": "q2"}}))
+    drafts = files.read_draft_cases(spark, str(tmp_path / "d")).collect()
+    assert [(r.id, r.note, r.forbidden, r.emphasis, r.request.maxChars) for r in drafts] == [("d1", "", ["no"], True, 500), ("b", "", [], False, None)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.json").write_text(json.dumps({"note": "n", "request": {"matchedKeywords": ["a"], "missingQualifications": ["b"], "topExperienceTitle": "t"}, "expect": {"strength": True}}))
+    (tmp_path / "c" / "y.json").write_text(json.dumps({"request": {"topExperienceTitle": ""}}))
+    comments = files.read_comment_cases(spark, str(tmp_path / "c")).collect()
+    assert [(r.id, r.note, r.grounds, r.expect, r.forbidden) for r in comments] == [("x", "n", ["a", "b", "t"], {"strength": True}, []), ("y", "", [], {}, [])]
     files.write_report(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "out"), "r1")
     files.write_report(spark.createDataFrame([(2, "y")], "n int, s string"), str(tmp_path / "out"), "r2")
     assert sorted((r.n, r.run_id) for r in spark.read.json(str(tmp_path / "out")).collect()) == [(1, "r1"), (2, "r2")]
