@@ -161,14 +161,14 @@ def _(t):
     return t.postings().select("k", F.array_join(E.discriminatory(F.col("story")), "|").alias("hits"))
 
 
-@query("guard_blocklist", "select doc_id, array_to_string(list_filter(['trash', 'idiot', 'clown'], lambda w: contains(text, w)), '|') as hits from documents where text is not null")
+@query("guard_blocklist", "select doc_id, array_to_string(list_filter(['trash', 'idiot', 'clown'], lambda w: contains(text, w)), '|') as hits from documents")
 def _(t):
-    return t("documents").where("text is not null").select("doc_id", F.array_join(G.blocked(F.col("text"), ("trash", "idiot", "clown")), "|").alias("hits"))
+    return t("documents").select("doc_id", F.array_join(G.blocked(F.col("text"), ("trash", "idiot", "clown")), "|").alias("hits"))
 
 
-@query("eval_forbidden", rf"select doc_id, len(list_filter(['of The', 'und, die', ''], lambda w: w <> '' and contains({KEY.format('text')}, {KEY.format('w')}))) as n from documents where text is not null")
+@query("eval_forbidden", rf"select doc_id, len(list_filter(['of The', 'und, die', ''], lambda w: w <> '' and contains({KEY.format('text')}, {KEY.format('w')}))) as n from documents")
 def _(t):
-    d = t("documents").where("text is not null").withColumn("key", T.norm_key(F.col("text")))
+    d = t("documents").withColumn("key", T.norm_key(F.col("text")))
     return d.select("doc_id", F.size(G.forbidden_hits(F.col("key"), T.texts("of The", "und, die", ""))).cast("long").alias("n"))
 
 

@@ -10,7 +10,7 @@ from ..functions import guard as G
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import grade as R
-from ..sources.postings import DUE
+from ..sources.postings import DUE, spread
 from .registry import query
 
 
@@ -113,7 +113,7 @@ r as (select *, row_number() over (partition by doc_id order by points desc, pos
 select doc_id, w as word, n::int as rank from r where n <= 10""",
 )
 def _(t):
-    return t("documents").select("doc_id", F.posexplode(E.plain_keywords(F.col("source"), F.col("text"))).alias("at", "word")).select("doc_id", "word", (F.col("at") + 1).alias("rank"))
+    return spread(t("documents")).select("doc_id", F.posexplode(E.plain_keywords(F.col("source"), F.col("text"))).alias("at", "word")).select("doc_id", "word", (F.col("at") + 1).alias("rank"))
 
 
 @query(

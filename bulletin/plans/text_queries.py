@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.postings import spread
 from .registry import query
 
 W = r"[\s]"
-DOC = "documents where text is not null"
+DOC = "documents"
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([.!?。])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
 def _docs(t):
-    return t("documents").where("text is not null")
+    return spread(t("documents"))
 
 
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\x{00a0}\x{3000}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -132,7 +133,7 @@ def _(t):
     return T.preprocessed(t.postings(), "body").select("k", "pre_text", "pre_truncated", "pre_masked", "pre_injections", "pre_resegmented")
 
 
-@query("guard_scrub_pii", r"select doc_id, regexp_replace(text, e, '[삭제]', 'g') as text, len(regexp_extract_all(text, e)) as n from (select doc_id, text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+|\b0\d{1,2}[-.)]\s?\d{3,4}[-.]\d{4}\b|\b01[016-9][-.]?\d{3,4}[-.]?\d{4}\b|\b\d{6}[-\s]?[1-4]\d{6}\b' as e from documents where text is not null)")
+@query("guard_scrub_pii", r"select doc_id, regexp_replace(text, e, '[삭제]', 'g') as text, len(regexp_extract_all(text, e)) as n from (select doc_id, text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+|\b0\d{1,2}[-.)]\s?\d{3,4}[-.]\d{4}\b|\b01[016-9][-.]?\d{3,4}[-.]?\d{4}\b|\b\d{6}[-\s]?[1-4]\d{6}\b' as e from documents)")
 def _(t):
     text, n = T.scrub_pii(F.col("text"))
     return _docs(t).select("doc_id", text.alias("text"), n.cast("long").alias("n"))
