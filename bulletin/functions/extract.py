@@ -34,14 +34,18 @@ def label_hits(c: Column) -> Column:
 
 def window(c: Column, at: Column) -> Column:
     """What follows a label: to the end of its block (of the next one, if its own has no digit), or to a word that begins another date."""
-    chunk = F.substring(c, at, F.lit(P.WINDOW_CHARS))
-    first = F.locate("\n\n", chunk)
-    bare = (first > 1) & ~F.left(chunk, first - 1).rlike(r"\d")
-    rest = F.substring(chunk, first + 2, F.length(chunk))
-    second = F.locate("\n\n", rest)
-    block = F.when(first <= 1, chunk).when(~bare, F.left(chunk, first - 1)).when(second > 0, F.left(chunk, first + second)).otherwise(chunk)
-    stop = F.regexp_instr(F.substring(block, F.lit(2), F.length(block)), F.lit(U(P.WINDOW_END)))
-    return F.when(stop > 0, F.left(block, stop)).otherwise(block)
+    def second(chunk: Column, first: Column) -> Column:
+        rest = F.substring(chunk, first + 2, F.length(chunk))
+        return bound(F.locate("\n\n", rest), lambda at_: F.when(at_ > 0, F.left(chunk, first + at_)).otherwise(chunk))
+
+    def block(chunk: Column, first: Column) -> Column:
+        own = F.left(chunk, first - 1)
+        return F.when(first <= 1, chunk).when(own.rlike(r"\d"), own).otherwise(second(chunk, first))
+
+    def cut(text: Column) -> Column:
+        return bound(F.regexp_instr(F.substring(text, F.lit(2), F.length(text)), F.lit(U(P.WINDOW_END))), lambda stop: F.when(stop > 0, F.left(text, stop)).otherwise(text))
+
+    return bound(F.substring(c, at, F.lit(P.WINDOW_CHARS)), lambda chunk: bound(bound(F.locate("\n\n", chunk), lambda first: block(chunk, first)), cut))
 
 
 def matched(chunk: Column) -> Column:
@@ -83,7 +87,9 @@ def due_candidates(c: Column, as_of: Column) -> Column:
     def resolved(h: Column) -> Column:
         last = F.element_at(h["dates"], -1)
         lent = F.try_element_at(F.filter(F.transform(F.slice(h["dates"], F.lit(1), F.size(h["dates"]) - 1), lambda d: d["year"]), lambda y: y != ""), F.lit(1))
-        year = F.coalesce(F.nullif(last["year"], F.lit("")), lent)
+        return bound(F.struct(last.alias("last"), F.coalesce(F.nullif(last["year"], F.lit("")), lent).alias("year")), lambda x: dated_by(h, x["last"], x["year"]))
+
+    def dated_by(h: Column, last: Column, year: Column) -> Column:
         number = F.when(year.isNull(), F.year(as_of)).when(year.cast("int") < 100, year.cast("int") + 2000).otherwise(year.cast("int"))
         iso = F.try_to_date(F.format_string("%04d-%02d-%02d", number, last["month"], last["day"]), "yyyy-MM-dd")
         return F.struct(h["rank"].alias("rank"), h["n"].alias("n"), h["round"].alias("round"), iso.alias("iso"), h["raw"].alias("raw"), year.isNull().alias("year_inferred"), found(last["after"], P.TIME).alias("has_time"))
@@ -99,7 +105,7 @@ def due_date(candidates: Column, c: Column) -> Column:
     last = F.coalesce(F.array_min(F.transform(F.filter(own, lambda h: ~h["round"]), lambda h: h["n"])), F.lit(2**31 - 1))
     best = F.array_max(F.transform(F.filter(own, lambda h: h["n"] <= last), lambda h: F.struct(h["iso"], -h["n"], h["raw"], h["year_inferred"], h["has_time"])))
     none = F.lit(None)
-    yes = F.struct(best["iso"].alias("iso"), best["raw"].alias("raw"), best["year_inferred"].alias("year_inferred"), best["has_time"].alias("has_time"), none.cast("string").alias("reason"))
+    yes = bound(best, lambda x: F.struct(x["iso"].alias("iso"), x["raw"].alias("raw"), x["year_inferred"].alias("year_inferred"), x["has_time"].alias("has_time"), none.cast("string").alias("reason")))
     no = F.struct(none.cast("date").alias("iso"), none.cast("string").alias("raw"), F.lit(False).alias("year_inferred"), F.lit(False).alias("has_time"), F.when(found(c, P.NO_DEADLINE), "no_deadline").otherwise("not_found").alias("reason"))
     return F.when(F.size(candidates) > 0, yes).otherwise(no)
 
