@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = "due_accuracy_by_style ext_due_date ext_form_questions ext_qualifications pipe_rules agg_confusion topk_keywords txt_normalize txt_mask_contacts guard_claims guard_comments join_left_labels rank_auc rank_r_precision agg_upper_median budget_admission cost_per_call sample_stratified stream_daily_spend".split()
+SOME = "agg_comment_report agg_draft_report budget_status cache_modes eval_report guard_draft_tail guard_fact_check guard_outcomes judge_seam pipe_baseline pipeline_preprocess run_answers seam_outcomes selfjoin_jaccard txt_injection_sentence due_accuracy_by_style ext_due_date ext_form_questions ext_qualifications pipe_rules agg_confusion topk_keywords txt_normalize txt_mask_contacts guard_claims guard_comments join_left_labels rank_auc rank_r_precision agg_upper_median budget_admission cost_per_call sample_stratified stream_daily_spend".split()
 
 
 def rows(columns, data):
