@@ -65,7 +65,7 @@ def counted(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
         for i, j in zip(ends[:-1], ends[1:]):
             hashes[i:j].sort()
         new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-        yield b, doc[new], hashes[new], np.diff(np.append(new, len(hashes)))
+        yield b, doc[new], hashes[new], np.diff(np.append(new, len(hashes))).astype(np.int32)
 
 
 def examples(docs: DataFrame, chosen: DataFrame) -> tuple[list[int], np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -79,9 +79,9 @@ def examples(docs: DataFrame, chosen: DataFrame) -> tuple[list[int], np.ndarray,
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut(term), cut(n)], ["doc_id", "toxic", "terms", "counts"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = sorted(rows.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").collect(), key=lambda r: r["doc_id"])
-    get = lambda c, kind: [np.frombuffer(r[c], kind) for r in found]
-    return [r["doc_id"] for r in found], np.array([r["toxic"] for r in found], np.float64), get("terms", np.uint64), get("counts", np.int64)
+    found = rows.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").toArrow().sort_by("doc_id")
+    get = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in found[c]]
+    return found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(np.float64), get("terms", np.uint64), get("counts", np.int32)
 
 
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -101,8 +101,8 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term of the sample
-        out[r["term"]] = r["n"]
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term of the sample
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -225,6 +225,8 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
     small_batches(docs.sparkSession)
     index, rate = fitted(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    del index
+    B.give_back()
     names = [f"with_{c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
