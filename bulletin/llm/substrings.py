@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import forgotten, hot_join, noted, shared_dir, small_batches, written
+from .common import dropped, forgotten, hot_join, noted, shared_dir, small_batches, written
 from .suffixes import equal_windows
 
 LENGTH, SEED = 50, 16
@@ -262,11 +262,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     forgotten(facts, same)
     table = f"bulletin_{uuid.uuid4().hex}"
-    noted(f"table:{table}")
     noted(f"{shared_dir(spark)}/{table}")
     dealt = docs.select(block, "doc_id", salt, text.alias("text"), *[F.col(c).alias(f"with_{c}") for c in carry]).repartition(buckets, "block")
     dealt.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    texts = spark.table(table).groupBy("block")
+    stored = spark.table(table)
+    dropped(spark, f"table:{table}")  # the name only: the table is external, and the relation knows its files and buckets
+    texts = stored.groupBy("block")
 
     def anchors(key: tuple, rows: pa.Table, notes: pa.Table) -> pa.Table:
         b = _Block(rows, notes)
