@@ -154,3 +154,10 @@ def test_any_pipeline_can_be_evaluated(spark):
     assert (r.hallucinated, r.qualification_hallucinated, r.keyword_forbidden) == (0, 0, 0)
     empty = report.evaluated(p.limit(0), perfect)[1].first()
     assert empty.n == 0 and empty.due_accuracy is None
+
+
+def test_prompts_are_pinned(spark):
+    names = [("p/parse.v1.md", "one"), ("p/parse.v2.md", "two"), ("p/parse.v10.md", "ten"), ("p/draft.v1.md", "d"), ("p/README.md", "no")]
+    table = spark.createDataFrame(names, "path string, text string")
+    assert sorted((r["name"], r.version, r.text) for r in files.prompt_versions(table).collect()) == [("draft", 1, "d"), ("parse", 10, "ten")]
+    assert sorted((r["name"], r.version, r.text) for r in files.prompt_versions(table, {"parse": "v1"}).collect()) == [("draft", 1, "d"), ("parse", 1, "one")]
