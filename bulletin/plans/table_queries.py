@@ -9,7 +9,10 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import ledger as L
 from ..operators import rank as R
+from ..sources.postings import DUE
+from .guard_queries import _unlawful
 from .registry import query
+from .text_queries import PREPROCESSED
 
 # ---- Joins ----
 
@@ -316,7 +319,15 @@ def _(t):
     return rows.agg(bad.alias("cases"), found.alias("found"), wrong.alias("wrong"), (found / F.nullif(bad, F.lit(0))).alias("recall"), (wrong / F.nullif(good, F.lit(0))).alias("false_rate"))
 
 
-@query("pipe_merged")
+@query(
+    "pipe_merged",
+    f"""with b as ({PREPROCESSED}),
+w as (select p.*, length(pre_text) < {P.MIN_CHARS} as short, k % 23 <> 0 as likely, list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(pre_text, '\\s+'), lambda x: x <> '')), lambda x: {{'n': -length(x), 'x': x}}))[1:5], lambda z: z.x) as longest from p join b using (k)),
+h as (select *, case when short or not likely then []::varchar[] else list_filter(longest, lambda z: length(z) <= 40 and len({_unlawful('z')}) = 0) end as keywords from w),
+c as (select *, case when short then 'EMPTY' when not likely then 'NOT_A_POSTING' when len(keywords) < {P.MIN_KEYWORDS} then 'NO_KEYWORDS' end as code from h)
+select k, code, case when code is null then {DUE} end as due_date, case when code is null then coalesce(kind, 'other') end as kind, case when code is null then len(keywords) else 0 end::int as n_keywords, case when code is null then asks else 0 end::int as n_questions from c""",
+    view=True,
+)
 def _(t):
     from .seam import merged
 
