@@ -44,7 +44,7 @@ ROWS, FEATURES, ROUNDS, PSEUDO, DAMP = 1 << 12, 4, 2, 20.0, 10.0
 #: The weight of the softmax against pairs counted after a token that was seen m times: PRIOR * m ** POWER + 1.
 PRIOR, POWER = 4.0, 0.6
 #: Bytes of text of a block, tokens that one range of hashes holds on average, tokens that are scored at once.
-BLOCK, PART, STEP = 2 << 20, 2 << 20, 1 << 17
+BLOCK, PART, STEP = 4 << 20, 2 << 20, 1 << 17
 #: Bits of a pair's hash over those of the number of tokens: of 2 ** SPARE pairs, less than one shares its hash with another.
 SPARE = 16
 #: The hash and ending of the end token, which no word has, and what stands before a text's first token.
