@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, written
 
