@@ -9,7 +9,7 @@ from ..functions import extract as E
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import report as R
-from .guard_queries import KEY, _any_cited, _claimed, _facts, _list, _tokens
+from .guard_queries import KEY, _any_cited, _claimed, _facts, _tokens
 from .registry import query
 from .rule_queries import GRADES, due
 from .text_queries import GRAMS, SENTENCES

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as T
 from ..sources.postings import spread
 from .registry import query
