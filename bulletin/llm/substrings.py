@@ -125,9 +125,9 @@ class _Block:
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """The first run of each distinct run, and each run's class."""
-        seed, size = 0, self.last + LENGTH - self.first
+        seed, size, sums = 0, self.last + LENGTH - self.first, B.prefix_sums(self.data)
         while True:  # with another hash, should different runs agree in one
-            whole = B.digests(self.data, self.first, self.last + LENGTH, seed)
+            whole = _hashed(self.data, sums, self.first, self.last + LENGTH, seed)
             key = B.mixed(whole + self.hash * np.uint64(0x9E3779B97F4A7C55) + (self.at - self.first).astype(np.uint64))
             _, first, of = np.unique(key, return_index=True, return_inverse=True)
             twin = np.flatnonzero(first[of] != np.arange(len(of)))
@@ -137,6 +137,11 @@ class _Block:
             seed += 1
 
 
+def _hashed(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A cheap hash of each range at first, and a better one for each further seed: whose bytes agree is compared anyway."""
+    return B.digests(data, starts, ends, seed) if seed else B.range_hashes(sums, starts, ends)
+
+
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -150,7 +155,7 @@ def _cuts(parts_of: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _smallest(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, window start, smallest doc_id) of every window of the runs; at, first, last are positions in data, low the runs' smallest doc_id."""
-    found = []
+    found, sums = [], B.prefix_sums(data)
     for a, b in RANGES:
         lo, hi = np.maximum(a, at - last), np.minimum(b, at - first)
         of = np.flatnonzero(hi >= lo)
@@ -159,8 +164,8 @@ def _smallest(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.nd
         lo, hi, mid = lo[of], hi[of], at[of]
         seed = 0
         while True:  # with another hash, should different cores or strings agree in one
-            core = B.mixed(B.digests(data, mid - a, mid - b + LENGTH, seed) + anchor[of] * np.uint64(0x9E3779B97F4A7C55))
-            whole = B.mixed(B.digests(data, mid - hi, mid - lo + LENGTH, seed) + core * np.uint64(0xC2B2AE3D27D4EB4F) + (64 * lo + hi).astype(np.uint64))
+            core = B.mixed(_hashed(data, sums, mid - a, mid - b + LENGTH, seed) + anchor[of] * np.uint64(0x9E3779B97F4A7C55))
+            whole = B.mixed(_hashed(data, sums, mid - hi, mid - lo + LENGTH, seed) + core * np.uint64(0xC2B2AE3D27D4EB4F) + (64 * lo + hi).astype(np.uint64))
             order = np.lexsort((whole, core))
             new_core = np.append(True, core[order][1:] != core[order][:-1])
             new_text = new_core | np.append(True, whole[order][1:] != whole[order][:-1])
