@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +27,43 @@ def haystack(sources: Column) -> Column:
     return norm_key(F.array_join(sources, " "))
 
 
+def _any_in(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+
+
+def _those_in(c: Column, words: tuple[str, ...]) -> Column:
+    """The words that a text holds, in their order."""
+    return F.when(_any_in(c, words), F.array_compact(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words]))).otherwise(texts())
+
+
+def _may_overlap(a: str, b: str) -> bool:
+    return a in b or b in a or any(x.endswith(y[:n]) for x, y in ((a, b), (b, a)) for n in range(1, min(len(a), len(b))))
+
+
+def consumed_before(word: str, order: tuple[str, ...]) -> tuple[str, ...]:
+    """Of the words that are taken out of a text before one, in order, those that decide whether it is still there: they share letters with it or with another of these."""
+    own = [word]
+    for w in reversed(order[: order.index(word)]):
+        if any(_may_overlap(w, x) for x in own):
+            own.insert(0, w)
+    return tuple(own[:-1])
+
+
 def spellings(c: Column, hay: Column) -> Column:
     """Spellings in the text that neither they nor their other form vouch for in the sources; longest first, each consumed once found."""
-    for w in P.NOT_SPELLINGS:
-        c = F.replace(c, F.lit(w), F.lit(" "))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), texts(*v).alias("v")) for k, v in sorted(P.SPELLINGS.items(), key=lambda x: -len(x[0]))])
-    start = F.struct(c.alias("text"), F.array().cast("array<string>").alias("out"))
+    table = sorted(P.SPELLINGS, key=lambda k: -len(k))
+    order = (*P.NOT_SPELLINGS, *table)
 
-    def step(a: Column, s: Column) -> Column:
-        there = F.contains(a["text"], s["k"])
-        known = F.contains(hay, s["k"]) | F.exists(s["v"], lambda v: F.contains(hay, v))
-        return F.struct(F.when(there, F.replace(a["text"], s["k"], F.lit(" "))).otherwise(a["text"]).alias("text"), F.when(there & ~known, F.concat(a["out"], F.array(s["k"]))).otherwise(a["out"]).alias("out"))
+    def unknown(k: str) -> Column:
+        left = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit(" ")), consumed_before(k, order), c)
+        return F.when(F.contains(c, F.lit(k)) & F.contains(left, F.lit(k)) & ~_any_in(hay, (k, *P.SPELLINGS[k])), F.lit(k))
 
-    return F.aggregate(table, start, step, lambda a: a["out"])
+    return F.when(_any_in(c, tuple(table)), F.array_compact(F.array(*[unknown(k) for k in table]))).otherwise(texts())
 
 
-def fact_check(c: Column, sources: Column) -> Column:
-    """Numbers of two digits or more, Latin words and spellings that the sources don't have, in order, once each."""
-    hay = haystack(sources)
+def fact_check(c: Column, sources: Column, hay: Column | None = None) -> Column:
+    """Numbers of two digits or more, Latin words and spellings that the sources don't have, in order, once each. hay: the sources' :func:`haystack` as a column, which is read many times."""
+    hay = haystack(sources) if hay is None else hay
     digits = lambda t: sub(t, r"\D")
     numbers = F.filter(F.transform(found_all(c, P.NUMBER), strip), lambda t: (F.length(digits(t)) >= 2) & ~F.contains(hay, norm_key(t)) & ~F.contains(hay, digits(t)))
     other = F.create_map(*[F.lit(x) for k, vs in P.SPELLINGS.items() for v in vs for x in (v, k)])
@@ -56,35 +77,40 @@ def fact_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(numbers, found_all(c, P.LATIN)), norm_key))
 
 
-def _has_any(c: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(texts(*words), lambda w: F.contains(c, w))
-
-
 def final_of(ch: Column) -> Column:
     """Number of a Hangul syllable's final consonant, -1 for other characters."""
     code = F.ascii(ch) - 44032
     return F.when(code.between(0, 11171), code % 28).otherwise(-1)
 
 
+#: Syllables that end in ㅆ, but for those of the present and the future.
+_PAST = "".join(ch for ch in map(chr, range(44032 + 20, 44032 + 11172, 28)) if ch not in "있겠")
+
+
 def past(c: Column) -> Column:
-    return F.exists(F.split(c, ""), lambda ch: ~ch.isin("있", "겠") & (final_of(ch) == 20))
+    return F.length(F.translate(c, _PAST, "")) < F.length(c)
 
 
 def future(c: Column) -> Column:
     return found(c, P.FUTURE) | F.exists(found_all(c, P.ADNOMINAL, 1), lambda ch: final_of(ch) == 8)
 
 
-def outcomes(c: Column, hay: Column) -> Column:
-    """Reactions and recognition that clauses in the past tense claim and the sources never speak of."""
-    free = F.flatten(F.array(*[F.when(~found(hay, ground), texts(*words)).otherwise(texts()) for words, ground in P.OUTCOMES.values()]))
-    clauses = F.flatten(F.transform(sentences(c), lambda s: F.split(s, ",", -1)))
-    return F.flatten(F.transform(F.filter(clauses, lambda x: past(x) & ~future(x)), lambda x: F.filter(free, lambda w: F.contains(x, w))))
+def outcomes(c: Column, hay: Column, own: Column | None = None) -> Column:
+    """Reactions and recognition that clauses in the past tense claim and the sources never speak of. own: the text's :func:`sentences` as a column."""
+    free = [(words, ~found(hay, ground)) for words, ground in P.OUTCOMES.values()]
+    every = tuple(w for words, _ in free for w in words)
+    clauses = F.flatten(F.transform(sentences(c) if own is None else own, lambda s: F.split(s, ",", -1)))
+    claimed = F.filter(clauses, lambda x: _any_in(x, every) & past(x) & ~future(x))
+    found_in = lambda x: F.flatten(F.array(*[F.when(ok, _those_in(x, words)).otherwise(texts()) for words, ok in free]))
+    some = reduce(lambda a, b: a | b, [_any_in(c, words) & ok for words, ok in free])
+    return F.when(some, F.flatten(F.transform(claimed, found_in))).when(c.isNotNull(), texts())
 
 
-def claims(c: Column, sources: Column) -> Column:
+def claims(c: Column, sources: Column, own: Column | None = None) -> Column:
+    """Qualifications, prizes and employers that the text names and the sources don't, and :func:`outcomes`."""
     hay = F.array_join(sources, " ")
-    own = [F.when(_has_any(hay, ws), texts()).otherwise(F.filter(texts(*ws), lambda w: F.contains(c, w))) for ws in P.CLAIMS.values()]
-    return F.array_distinct(F.concat(*own, outcomes(c, hay)))
+    named = [F.when(_any_in(hay, ws), texts()).otherwise(_those_in(c, ws)) for ws in P.CLAIMS.values()]
+    return F.array_distinct(F.concat(*named, outcomes(c, hay, own)))
 
 
 def blocked(c: Column, words: tuple[str, ...] = P.BLOCKED) -> Column:
@@ -95,10 +121,11 @@ def forbidden_hits(c: Column, words: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 0) & F.contains(norm_key(c), norm_key(w)))
 
 
-def ending_ratio(c: Column, tone: str) -> Column:
-    own = sentences(c)
-    hits = F.filter(own, lambda s: found(sub(s, P.TRAILING), P.ENDINGS.get(tone, P.ENDINGS["formal"])))
-    return F.size(hits) / F.nullif(F.size(own), F.lit(0))
+def ending_ratio(c: Column, tone: str, own: Column | None = None) -> Column:
+    """The share of sentences with a tone's ending before what stands after their last word. own: the text's :func:`sentences` as a column."""
+    own = sentences(c) if own is None else own
+    ending = P.ENDINGS.get(tone, P.ENDINGS["formal"]).removesuffix("$") + P.TRAILING.removesuffix("+$") + r"*\z"
+    return F.size(F.filter(own, lambda s: found(s, ending))) / F.nullif(F.size(own), F.lit(0))
 
 
 def cites(c: Column, ground: Column) -> Column:

@@ -13,6 +13,8 @@ def U(pattern: str, flags: str = "") -> str:
 # Cleaning.
 MAX_CHARS, MIN_CHARS, FLAT_CHARS = 40_000, 200, 300
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: What \\s stands for with Unicode classes.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = "[ \\t\\u00a0\\u3000]+"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 PHONE = r"\b0\d{1,2}[-.)]\s?\d{3,4}[-.]\d{4}\b"

@@ -19,7 +19,7 @@ def sub(c: Column, pattern: str, to: str = "", flags: str = "") -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return sub(c, r"\A\s+|\s+\z")
+    return F.btrim(c, F.lit(P.WHITE))
 
 
 def rstrip(c: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import guard as G
 from ..functions import patterns as P
@@ -25,13 +32,120 @@ def draft_measures(answers: DataFrame) -> DataFrame:
     """answers (run, id, slot: first, regen or rotated; tone, answer, limit, sources, forbidden, fallback, tokens, cost) with what is measured of each."""
     c, n = F.col("answer"), F.length("answer")
     rows = answers.withColumn("length_grade", R.length(n, F.col("limit"))).withColumn("fill_ratio", F.when(F.col("limit") > 0, F.round(n / F.nullif("limit", F.lit(0)), 2)))
-    rows = rows.withColumn("key", T.norm_key(c)).withColumn("n_forbidden", F.size(F.filter("forbidden", lambda w: (F.length(w) > 0) & F.contains(F.col("key"), T.norm_key(w)))))
-    rows = rows.withColumn("n_unverified", F.size(F.array_distinct(F.concat(G.fact_check(c, F.col("sources")), G.claims(c, F.col("sources"))))))
-    tones = [t for t in P.ENDINGS if t != "formal"]
-    ratio = G.ending_ratio(c, "formal")
-    for t in tones:
-        ratio = F.when(F.col("tone") == t, G.ending_ratio(c, t)).otherwise(ratio)
-    return rows.withColumns({"ending_ratio": ratio, "hedges": T.count_phrases(c, P.HEDGES), "cliches": T.count_phrases(c, P.CLICHES)}).drop("key")
+    rows = rows.withColumn("_key", T.norm_key(c)).withColumn("n_forbidden", F.size(F.filter("forbidden", lambda w: (F.length(w) > 0) & F.contains(F.col("_key"), T.norm_key(w))))).drop("_key")
+    return once(rows, ("answer", "sources", "tone"), _text_measures)
+
+
+def _text_measures(rows: DataFrame) -> DataFrame:
+    """answer, sources and tone with what they decide alone."""
+    c, own = F.col("answer"), F.col("_own")
+    rows = rows.withColumns({"_hay": G.haystack(F.col("sources")), "_own": T.sentences(c)})
+    rows = rows.withColumn("n_unverified", F.size(F.array_distinct(F.concat(G.fact_check(c, F.col("sources"), F.col("_hay")), G.claims(c, F.col("sources"), own)))))
+    ratio = G.ending_ratio(c, "formal", own)
+    for t in [t for t in P.ENDINGS if t != "formal"]:
+        ratio = F.when(F.col("tone") == t, G.ending_ratio(c, t, own)).otherwise(ratio)
+    return rows.withColumns({"ending_ratio": ratio, "hedges": T.count_phrases(c, P.HEDGES), "cliches": T.count_phrases(c, P.CLICHES)}).drop("_hay", "_own")
+
+
+def once(rows: DataFrame, keys: tuple[str, ...], measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that measure adds to a table of their keys, each different key measured once: a join costs less than the rules. Null is a key like others; hashes only sort."""
+    own = measure(rows.select(*keys).distinct()).withColumn("_hash", F.xxhash64(*keys)).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.col("_at") == F.col("_hash")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.withColumn("_at", F.xxhash64(*keys)).join(own, same).drop("_at", "_hash", *[f"_of_{k}" for k in keys])
+
+
+#: N-grams and texts that :func:`_pairs_mean` lays out as one table of bits at most, but for a single text with more.
+BLOCK_GRAMS, BLOCK_TEXTS = 1 << 14, 256
+
+
+def _grams(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram of up to three letters as a number, and the place of its text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    if len(codes) < n:
+        return codes[:0], of[:0]
+    whole = of[: len(of) - n + 1] == of[n - 1 :]
+    grams = sum(codes[i : len(codes) - n + 1 + i] << (21 * i) for i in range(n))
+    return grams[whole], of[: len(of) - n + 1][whole]
+
+
+def _blocks(texts: list[str]) -> list[list[str]]:
+    out, room = [], 0
+    for t in texts:
+        if not out or len(out[-1]) == BLOCK_TEXTS or len(t) > room:
+            out.append([])
+            room = BLOCK_GRAMS
+        out[-1].append(t)
+        room -= len(t)
+    return out
+
+
+def _pairs_mean(texts: list[str]) -> float:
+    """The mean similarity of all pairs of texts by their distinct n-grams; 1 for two texts without any."""
+    blocks = [(len(b), *_grams(b)) for b in _blocks(texts)]
+    total = 0.0
+    for k, (n, grams, of) in enumerate(blocks):
+        known, at = np.unique(grams, return_inverse=True)
+        one = np.zeros((n, len(known)), np.float32)
+        one[of, at] = 1
+        size = one.sum(axis=1, dtype=np.float64)
+        for m, others, whose in blocks[k:]:
+            if others is grams:
+                two, sizes = one, size
+            else:
+                at = np.minimum(np.searchsorted(known, others), max(0, len(known) - 1))
+                same = known[at] == others if len(known) else np.zeros(len(others), bool)
+                two = np.zeros((m, len(known)), np.float32)
+                two[whose[same], at[same]] = 1
+                order = np.lexsort((others, whose))
+                first = np.ones(len(order), bool)
+                first[1:] = (np.diff(others[order]) != 0) | (np.diff(whose[order]) != 0)
+                sizes = np.bincount(whose[order][first], minlength=m).astype(np.float64)
+            both = (one @ two.T).astype(np.float64)
+            either = size[:, None] + sizes[None, :] - both
+            near = np.where(either > 0, both / np.maximum(either, 1), 1.0)
+            total += near[np.triu_indices(n, 1)].sum() if others is grams else near.sum()
+    return total / (len(texts) * (len(texts) - 1) / 2)
+
+
+def cross_similarity(rows: DataFrame, run: str, text: str, name: str) -> DataFrame:
+    """The mean n-gram similarity of all pairs of a run's texts; no row for a run with one.
+
+    A run is one task's, text by text in a few bytes a letter: pairs are counted by products of its tables of bits, never laid out as rows.
+    """
+    kind = S.StructType([S.StructField(run, rows.schema[run].dataType), S.StructField(name, S.DoubleType())])
+
+    def means(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        kinds = None
+        for r, group in groupby(((r, t, b.schema.field(0).type) for b in batches for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=itemgetter(0)):
+            texts = []
+            for _, t, kinds in group:
+                texts.append(t)
+            if len(texts) > 1:
+                out.append((r, _pairs_mean(texts)))
+            if len(out) == 4096:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kinds), pa.array([x[1] for x in out], pa.float64())], [run, name])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kinds), pa.array([x[1] for x in out], pa.float64())], [run, name])
+
+    return rows.select(run, text).repartition(run).sortWithinPartitions(run).mapInArrow(means, kind)
+
+
+def _bare(c: str) -> Column:
+    return T.sub(F.col(c), r"\s")
+
+
+def _case_measures(case: DataFrame) -> DataFrame:
+    """a, b and again with how near a is to b by facts and to again by n-grams and sentences."""
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    rows = case.withColumns({"_a": _bare("a"), "_again": _bare("again")}).withColumns({"_ga": T.ngrams(F.col("_a")), "_gagain": T.ngrams(F.col("_again"))})
+    return rows.withColumns({
+        "facts": F.when(both, T.jaccard(G.fact_tokens(F.col("a")), G.fact_tokens(F.col("b")))), "like": T.jaccard(F.col("_ga"), F.col("_gagain")), "copied": T.sentence_overlap(F.col("a"), F.col("again")),
+    }).drop("_a", "_again", "_ga", "_gagain")
 
 
 def draft_report(measured: DataFrame, tones: tuple[str, str]) -> DataFrame:
@@ -42,34 +156,37 @@ def draft_report(measured: DataFrame, tones: tuple[str, str]) -> DataFrame:
     """
     own = F.col("slot") != "rotated"
     limited = own & (F.col("limit") > 0)
-    main = measured.groupBy("run").agg(
-        F.count("tokens").alias("calls"), _share(F.col("length_grade") != "over", limited).alias("length_compliance"), _share(F.col("length_grade") == "ok", limited).alias("fill_compliance"),
-        F.avg(F.when(own, F.col("fill_ratio"))).alias("fill_ratio_mean"), _share(F.col("length_grade") == "ok", own & (F.col("limit") == 0)).alias("default_range_compliance"),
-        _share(F.col("fallback"), own).alias("fallback_rate"), F.sum(F.when(own, F.col("n_forbidden"))).alias("forbidden_total"), F.sum(F.when(own, F.col("n_unverified"))).alias("unverified_total"),
-        *[F.avg(F.when(own & (F.col("tone") == t), F.col("ending_ratio"))).alias(f"tone_consistency_{t}") for t in tones],
-        F.sum(F.when(own, F.col("hedges"))).alias("hedges"), F.sum(F.when(own, F.col("cliches"))).alias("cliches"), F.sum("tokens").alias("total_tokens"), F.round(F.sum("cost"), 4).alias("cost_krw"),
-    )
+    share = lambda hit, of: F.when(of, hit).cast("int")
+    means = {
+        "length_compliance": share(F.col("length_grade") != "over", limited), "fill_compliance": share(F.col("length_grade") == "ok", limited), "fill_ratio_mean": F.when(own, F.col("fill_ratio")),
+        "default_range_compliance": share(F.col("length_grade") == "ok", own & (F.col("limit") == 0)), "fallback_rate": share(F.col("fallback"), own),
+        **{f"tone_consistency_{t}": F.when(own & (F.col("tone") == t), F.col("ending_ratio")) for t in tones},
+    }
+    sums = {"forbidden_total": F.when(own, F.col("n_forbidden")), "unverified_total": F.when(own, F.col("n_unverified")), "hedges": F.when(own, F.col("hedges")), "cliches": F.when(own, F.col("cliches")), "total_tokens": F.col("tokens"), "cost_krw": F.col("cost")}
     at = lambda slot, tone, c: F.max(F.when((F.col("slot") == slot) & (F.col("tone") == tone), F.col(c)))
-    case = measured.groupBy("run", "id").agg(
+    # One pass over the answers: what a run adds up is added up by case first.
+    case = measured.where(F.col("run").isNotNull()).groupBy("run", "id").agg(
+        F.count("tokens").alias("calls"), *[F.sum(v).alias(k) for k, v in sums.items()], *[x for k, v in means.items() for x in (F.sum(v).alias(f"_sum_{k}"), F.count(v).alias(f"_n_{k}"))],
         at("first", tones[0], "answer").alias("a"), at("first", tones[1], "answer").alias("b"), at("first", tones[0], "ending_ratio").alias("ra"), at("first", tones[1], "ending_ratio").alias("rb"),
         at("regen", tones[0], "answer").alias("again"), (at("regen", tones[0], "fallback") | at("first", tones[0], "fallback")).alias("ruled"),
         at("rotated", tones[0], "answer").alias("rotated"), F.max(F.when(F.col("slot") == "first", F.col("marks"))).alias("marks"), F.max(F.when(F.col("slot") == "rotated", F.col("marks"))).alias("rotated_marks"),
     )
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     apart = (F.coalesce("ra", F.lit(0.0)) >= P.TONE_TARGET) & (F.coalesce("rb", F.lit(0.0)) >= P.TONE_TARGET)
-    bare = lambda c: T.sub(F.col(c), r"\s")
-    case = case.withColumns({"_a": bare("a"), "_again": bare("again")}).withColumns({"_ga": T.ngrams(F.col("_a")), "_gagain": T.ngrams(F.col("_again"))})
     again = F.col("again").isNotNull() & ~F.col("ruled")
-    case = case.withColumns({"facts": F.when(both, T.jaccard(G.fact_tokens(F.col("a")), G.fact_tokens(F.col("b")))), "like": F.when(again, T.jaccard(F.col("_ga"), F.col("_gagain"))), "copied": F.when(again, T.sentence_overlap(F.col("a"), F.col("again")))})
+    case = once(case, ("a", "b", "again"), _case_measures).withColumns({"like": F.when(again, F.col("like")), "copied": F.when(again, F.col("copied"))})
     turned = F.col("rotated").isNotNull()
     follows = turned & F.coalesce(reflects(F.col("a"), F.col("marks")), F.lit(False)) & F.coalesce(reflects(F.col("rotated"), F.col("rotated_marks")), F.lit(False))
-    pairs = case.groupBy("run").agg(
+    mean = lambda k: (F.sum(f"_sum_{k}") / F.nullif(F.sum(f"_n_{k}"), F.lit(0))).alias(k)
+    total = lambda k: F.sum(k).alias(k)
+    rows = case.groupBy("run").agg(
+        total("calls"), *[mean(k) for k in list(means)[:5]], total("forbidden_total"), total("unverified_total"), *[mean(k) for k in list(means)[5:]], total("hedges"), total("cliches"), total("total_tokens"), F.round(F.sum("cost_krw"), 4).alias("cost_krw"),
         F.count_if(both & apart).alias("distinguishable"), F.count_if(both).alias("distinguishable_of"), F.avg("facts").alias("fact_jaccard_mean"), F.avg("like").alias("regen_ngram_mean"),
         F.count_if(F.col("like") >= P.REGEN_SIMILAR).alias("regen_similar"), F.avg("copied").alias("regen_sentence_mean"), F.count_if(follows).alias("emphasis_follows"), F.count_if(turned).alias("emphasis_of"),
     )
-    x, y = (case.where("a is not null").select("run", F.col("id").alias(i), F.col("_ga").alias(g)) for i, g in (("i", "x"), ("j", "y")))
-    floor = x.join(y, "run").where("i < j").groupBy("run").agg(F.avg(T.jaccard(F.col("x"), F.col("y"))).alias("cross_case_ngram_mean"))
-    return main.join(pairs, "run").join(floor, "run", "left")
+    first = measured.where((F.col("slot") == "first") & (F.col("tone") == tones[0]) & F.col("answer").isNotNull() & F.col("run").isNotNull() & F.col("id").isNotNull())
+    firsts = first.groupBy("run", "id").agg(F.max("answer").alias("a")).select("run", _bare("a").alias("a"))
+    return rows.join(cross_similarity(firsts, "run", "a", "cross_case_ngram_mean"), "run", "left")
 
 
 def comment_measures(cases: DataFrame) -> DataFrame:

@@ -81,10 +81,11 @@ def draft_answers(t) -> DataFrame:
     """Every announcement's story as the answers of one case, in runs of RUN cases."""
     one = lambda slot, tone, answer, marks: F.struct(F.lit(slot).alias("slot"), F.lit(tone).alias("tone"), F.expr(answer).alias("answer"), marks.alias("marks"))
     words = lambda c: F.array_distinct(F.transform(T.found_all(F.col(c), P.TOKEN), T.norm_key))
-    first, second = F.array_except(words("ground"), words("ground2")), F.array_except(words("ground2"), words("ground"))
+    first, second = F.col("first"), F.col("second")
     slots = F.array(one("first", "formal", "story", first), one("first", "casual", CASUAL, first), one("regen", "formal", AGAIN, first), one("rotated", "formal", TURNED, second))
     called = F.col("k") % 13 > 0
-    rows = t.postings().select(
+    p = t.postings().withColumns({"first": words("ground"), "second": words("ground2")}).withColumns({"first": F.array_except(first, second), "second": F.array_except(second, first)})
+    rows = p.select(
         F.expr(f"k div {RUN}").alias("run"), F.col("k").alias("id"), F.array("source").alias("sources"), F.array("ground", "word").alias("forbidden"), (F.col("k") % 10 == 0).alias("fallback"),
         F.when(called, 100 + F.col("k") % 50).alias("tokens"), F.when(called, (F.col("k") % 97) / 1000.0).alias("cost"), F.expr("case k % 4 when 0 then 0 when 1 then 50 when 2 then 100 else 25 end").alias("limit"), F.explode(slots).alias("x"),
     )
