@@ -38,6 +38,7 @@ def noted(path: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    short_plans(spark)
     path = noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,6 +70,16 @@ def scope(spark: SparkSession, name: str, after: str = "") -> None:
     dropped(spark, *_SCOPES.pop(after, []))
 
 
+#: Letters of a plan's description, which the driver makes anew and keeps whenever adaptive execution changes a plan: a plan of a hundred exchanges has megabytes of them.
+DESCRIBED, _LETTERS = "20000", "spark.sql.maxPlanStringLength"
+
+
+def short_plans(spark: SparkSession) -> None:
+    """From now on, plans are described in few letters, unless the session says how many they may have."""
+    if spark.conf.get(_LETTERS).rstrip("b") == str((1 << 31) - 1 - 15):
+        spark.conf.set(_LETTERS, DESCRIBED)
+
+
 #: Bytes of rows that go to a Python worker at once, where the session leaves it to Spark: both sides hold a few such batches.
 BATCH, _KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 

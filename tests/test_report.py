@@ -45,6 +45,7 @@ def test_cross_similarity_equals_all_pairs(spark, monkeypatch):
 
 def test_pairs_are_no_rows(spark):
     """Of 300 answers in one run, no 44,850 pairs: the report joins no case with another."""
+    spark = spark.newSession()
     rows = [(0, i, "first", "formal", f"답변 {i % 7}번입니다.", 0, ["s"], ["w"], False, 1, 0.5, ["m"]) for i in range(300)]
     answers = spark.createDataFrame(rows, "run long, id long, slot string, tone string, answer string, limit int, sources array<string>, forbidden array<string>, fallback boolean, tokens long, cost double, marks array<string>")
     report = R.draft_report(R.draft_measures(answers), ("formal", "casual"))
