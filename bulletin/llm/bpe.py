@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytesops import give_back
+from .bytesops import give_back, keeps
 from .common import small_batches
 
 #: Pieces that a worker remembers, and the longest that it remembers: a bound of its memory.
@@ -183,6 +183,7 @@ def load(path: str | None = None, pattern: str | None = None) -> BytePairs:
         path, pattern = path or P.path("byte_bpe_50k.tiktoken"), pattern or P.PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    keeps("bpe", load.cache_clear)
     return BytePairs(ranks, pattern)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +175,20 @@ def give_back() -> None:
         library = ctypes.CDLL(None)
         library.mallopt(_LARGE, _OWN)
         library.malloc_trim(0)
+
+
+#: What operators keep in a worker from one task to the next, by operator: the call that lets go of it.
+_KEPT_BY: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, let_go: Callable[[], None]) -> None:
+    """From now on the operator keeps something in this worker, until :func:`begun` of another one."""
+    _KEPT_BY[operator] = let_go
+
+
+def begun(operator: str) -> None:
+    """A task of the operator begins: what other operators keep in this worker goes. Spark hands a worker from one query to the next, and its idle ones stand beside it."""
+    for other in [x for x in _KEPT_BY if x != operator]:
+        _KEPT_BY.pop(other)()
+    _POWERS.clear()
+    give_back()

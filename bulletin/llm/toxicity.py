@@ -32,6 +32,8 @@ from .common import small_batches, written
 LABELLED = 4096
 #: Neighbours that vote, votes of the base rate, examples in a block, the least factor of a term, terms that are few.
 NEAREST, PRIOR, BLOCK, FLOOR, FEW = 15, 0.5, 128, 0.02, 8
+#: Bytes of text whose terms are found at once: each byte takes dozens of bytes meanwhile.
+PIECE = 1 << 19
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -59,7 +61,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def counted(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(piece, text number, term, times) of the distinct terms of each text of a piece, by text."""
-    for b in B.pieces(batch, column):
+    for b in B.pieces(batch, column, PIECE):
         hashes, doc = term_hashes(*B.laid_out(b.column(column)))
         ends = np.searchsorted(doc, np.arange(len(b) + 1)).tolist()
         for i, j in zip(ends[:-1], ends[1:]):
@@ -72,6 +74,7 @@ def examples(docs: DataFrame, chosen: DataFrame) -> tuple[list[int], np.ndarray,
     """doc_id, label, terms and counts of the sample's texts: at most LABELLED sparse vectors come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.begun("toxicity")
         for whole in batches:
             for b, doc, term, n in counted(whole, 2):
                 ends = np.searchsorted(doc, np.arange(len(b) + 1))
@@ -89,6 +92,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.begun("toxicity")
         terms = shared.value
         total = np.zeros(len(terms) + 1, np.int64)
         for whole in batches:
@@ -99,6 +103,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
                     total += np.bincount(at[terms[at] == term], minlength=len(terms) + 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+        B.give_back()
 
     out = np.zeros(len(vocabulary) + 1, np.int64)
     found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term of the sample
@@ -230,6 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
     names = [f"with_{c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.begun("toxicity")
         own = shared.value
         for whole in batches:
             for b, doc, term, n in counted(whole, 1):
